@@ -7,17 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe
+from netloom.llm import bpe, near_groups
 from netloom.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_groups.near_pairs(table(spark, d, "net_seqs"))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_groups.near_groups(table(spark, d, "net_seqs"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"), "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids,)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p7_ids)}
+
+
+#: Distinct points of an array column, and the pairs of ids whose point sets are near.
+POINTS = r"""
+  {name} AS (
+    SELECT DISTINCT id, CAST(g[1] AS HUGEINT) AS x, CAST(g[2] AS HUGEINT) AS y, CAST(g[3] AS HUGEINT) AS m
+    FROM (SELECT id, regexp_extract_all(e, '-?\d+')[1:3] AS g
+          FROM (SELECT {key} AS id, unnest(tree_seq) AS e FROM {table})
+          WHERE regexp_matches(e, '^\s*\(-?\d+,\s*-?\d+,\s*-?\d+\)'))),
+  {name}_n AS (SELECT id, count(*) AS n FROM {name} GROUP BY id HAVING count(*) >= 8),
+  {name}_near AS (
+    SELECT p.id AS a, q.id AS b
+    FROM {name} p JOIN {name} q ON p.x = q.x AND p.y = q.y AND p.m = q.m AND p.id < q.id
+    JOIN {name}_n pn ON pn.id = p.id JOIN {name}_n qn ON qn.id = q.id
+    GROUP BY p.id, q.id, pn.n, qn.n
+    HAVING count(*) * 5 >= 4 * (pn.n + qn.n - count(*)))"""
+NET_POINTS = POINTS.format(name="pt", key="net_id", table="net_seqs")
+NET_REACH = f"""
+WITH RECURSIVE {NET_POINTS},
+  sym AS (SELECT a, b FROM pt_near UNION SELECT b, a FROM pt_near),
+  reach AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a)"""
+
+SQL = {
+    "p1_found": NET_REACH + "\nSELECT a AS net_a, b AS net_b FROM reach WHERE a < b",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
