@@ -22,9 +22,16 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def load() -> None:
+    """Imports the modules whose queries register themselves."""
+    from netloom.plans import skew  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(SQL)
