@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, near_groups
+from netloom.llm import bpe, near_groups, percentiles, split_overlap, splits, term_stats
 from netloom.session import table
 
 
@@ -19,12 +19,52 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_groups.near_groups(table(spark, d, "net_seqs"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    terms = term_stats.term_statistics(table(spark, d, "token_dataset"), "sample_id", "target_tokens")
+    return terms.filter("mark is not null").select("token", "mark")
+
+
+def p2_terms(spark: SparkSession, d: str) -> DataFrame:
+    return term_stats.term_statistics(table(spark, d, "token_dataset"), "sample_id", "target_tokens")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = split_overlap.overlaps(table(spark, d, "token_dataset"))
+    return pairs.select(F.least("held_out_id", "train_id").alias("sample_a"), F.greatest("held_out_id", "train_id").alias("sample_b"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.report(table(spark, d, "token_dataset"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.tied_pairs(table(spark, d, "net_seqs"))
+
+
+def p5_split(spark: SparkSession, d: str) -> DataFrame:
+    plan = [(r.split, r.ratio) for r in table(spark, d, "split_plan").collect()]
+    return splits.assign(table(spark, d, "net_seqs"), plan)
+
+
+P6_GROUP, P6_VALUES = ["model_type", "source_design"], ["wirelength_pred", "num_vias_pred"]
+
+
+def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    parts = percentiles.partials(table(spark, d, "eval_metrics"), P6_GROUP, "eval_day", P6_VALUES)
+    return percentiles.percentiles(parts, P6_GROUP)
+
+
+def p6_daily(spark: SparkSession, d: str) -> DataFrame:
+    days = table(spark, d, "eval_metrics").withColumn("eval_day", F.col("eval_day").cast("string"))
+    return percentiles.partials(days, P6_GROUP, "eval_day", P6_VALUES)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"), "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_terms, p4_found, p4_report, p5_found, p5_split, p6_percentiles, p6_daily, p7_ids)}
 
 
 #: Distinct points of an array column, and the pairs of ids whose point sets are near.
@@ -47,7 +87,59 @@ WITH RECURSIVE {NET_POINTS},
   sym AS (SELECT a, b FROM pt_near UNION SELECT b, a FROM pt_near),
   reach AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a)"""
 
+TERMS = r"""
+WITH occ AS (SELECT sample_id, unnest(string_split_regex(target_tokens, '[ \t\n]')) AS token FROM token_dataset),
+  per_term AS (SELECT token, count(*) AS occurrences, count(DISTINCT sample_id) AS records FROM occ WHERE token <> '' GROUP BY token),
+  total AS (SELECT count(DISTINCT sample_id) AS n FROM occ WHERE token <> ''),
+  marked AS (
+    SELECT token, occurrences, records, CASE WHEN records <= 2 THEN 'rare' WHEN records > n * 0.5 THEN 'common' END AS mark
+    FROM per_term, total)"""
+OVERLAP = "WITH " + POINTS.format(name="pt", key="sample_id", table="token_dataset") + r""",
+  said AS (
+    SELECT sample_id AS id, split, list_filter(string_split_regex(target_tokens, '[ \t\n]'), lambda t: t <> '') AS words FROM token_dataset),
+  both_ways AS (
+    SELECT a, b FROM pt_near UNION SELECT b, a FROM pt_near
+    UNION SELECT s.id, t.id FROM said s JOIN said t ON s.words = t.words AND s.id <> t.id AND len(s.words) >= 20),
+  pairs AS (
+    SELECT e.id AS held_out_id, t.id AS train_id
+    FROM both_ways p JOIN said e ON e.id = p.a JOIN said t ON t.id = p.b
+    WHERE e.split IN ('validation', 'test') AND t.split = 'train')"""
+TIES = r"""
+WITH RECURSIVE held AS (
+    SELECT DISTINCT source_design AS d, lower(regexp_replace(trim(net_name), '^\\', '')) AS name
+    FROM net_seqs WHERE source_design <> '' AND lower(regexp_replace(trim(net_name), '^\\', '')) <> ''),
+  shared AS (SELECT name FROM held GROUP BY name HAVING count(*) <= 8),
+  tie AS (SELECT DISTINCT p.d AS a, q.d AS b FROM held p JOIN held q ON p.name = q.name AND p.d <> q.d WHERE p.name IN (SELECT name FROM shared)),
+  reach AS (SELECT a, b FROM tie UNION SELECT r.a, t.b FROM reach r JOIN tie t ON r.b = t.a)"""
+#: The code of a value >= 0: exponent and 8 bits of the fraction, from the bits that its exponent and quotient give.
+P6_CODED = """
+WITH long AS (
+    SELECT model_type, source_design, eval_day, 'wirelength_pred' AS metric, wirelength_pred AS v FROM eval_metrics WHERE wirelength_pred >= 0
+    UNION ALL SELECT model_type, source_design, eval_day, 'num_vias_pred', num_vias_pred FROM eval_metrics WHERE num_vias_pred >= 0),
+  coded AS (
+    SELECT *, CASE WHEN v = 0 THEN 0 ELSE CAST((length(bin(v)) - 1 + 1023) * 256 + trunc((v / pow(2, length(bin(v)) - 1) - 1) * 256) AS INTEGER) END AS code
+    FROM long)"""
+P6_RANKED = P6_CODED + """,
+  ranked AS (
+    SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY model_type, source_design, metric) AS n
+    FROM coded WINDOW w AS (PARTITION BY model_type, source_design, metric ORDER BY v))
+SELECT model_type, source_design, metric, max(n) AS n,""" + ",".join(
+    f"""
+  max(CASE WHEN r = (n * {p} + 99) // 100 THEN CASE WHEN code = 0 THEN 0 ELSE pow(2, code // 256 - 1023) * (1 + (code % 256) / 256.0) END END) AS p{p}"""
+    for p in (50, 90, 95, 99)
+) + " FROM ranked GROUP BY ALL"
+
 SQL = {
+    "p2_found": TERMS + "SELECT token, mark FROM marked WHERE mark IS NOT NULL",
+    "p2_terms": TERMS + "SELECT token, occurrences, records, mark FROM marked",
+    "p4_found": OVERLAP + "SELECT DISTINCT least(held_out_id, train_id) AS sample_a, greatest(held_out_id, train_id) AS sample_b FROM pairs",
+    "p4_report": OVERLAP
+    + """, per_row AS (SELECT held_out_id, count(DISTINCT train_id) AS n FROM pairs GROUP BY held_out_id)
+SELECT d.split, d.source_design, count(*) AS n_rows, count(n) AS n_overlapping, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pairs
+FROM token_dataset d LEFT JOIN per_row p ON p.held_out_id = d.sample_id WHERE d.split IN ('validation', 'test') GROUP BY ALL""",
+    "p5_found": TIES + "SELECT a AS design_a, b AS design_b FROM reach WHERE a < b",
+    "p6_percentiles": P6_RANKED,
+    "p6_daily": P6_CODED + "SELECT model_type, source_design, CAST(eval_day AS VARCHAR) AS eval_day, metric, code, count(*) AS n FROM coded GROUP BY ALL",
     "p1_found": NET_REACH + "\nSELECT a AS net_a, b AS net_b FROM reach WHERE a < b",
 }
 
