@@ -194,14 +194,15 @@ def near_groups(df: DataFrame, key: str = "net_id", tree: str = "tree_seq", bloc
 
     ``group_id`` is the least key of the group: rows are in one group if their sets are near, also through other rows.
     ``n_links`` counts the near sets other than the row's own. Rows with fewer than 8 points, null or empty trees are
-    groups of their own. Keys must be whole numbers; a null key comes out with itself as group. Other columns are not read.
+    groups of their own. Keys must be whole numbers; a null key comes out with itself as group. Rows that share a key share
+    its least group. Other columns are not read.
     """
     rows, groups, near = _grouped(df, key, tree, block_rows)
     degree = near.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
     of_set = groups.join(degree, "sid", "left").select("k1", "k2", "group_id", "n_links")
     of_row = rows.select("id", "k1", "k2").join(of_set, ["k1", "k2"]).select("id", "group_id", "n_links")
     everything = df.select(F.col(key).alias("id"))
-    return everything.join(of_row.dropDuplicates(["id"]), "id", "left").select(
+    return everything.join(of_row.groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("n_links").alias("n_links")), "id", "left").select(
         F.col("id").alias(key), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 

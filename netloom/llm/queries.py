@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, near_groups, percentiles, split_overlap, splits, term_stats
+from netloom.llm import bpe, chunking, near_groups, packing, percentiles, split_overlap, splits, term_stats
 from netloom.session import table
 
 
@@ -63,8 +63,31 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"), "doc_id")
 
 
+def limits(spark: SparkSession, d: str, purpose: str) -> tuple[int, int]:
+    row = table(spark, d, "token_limits").filter(F.col("purpose") == purpose).first()
+    return row.max_tokens, row.overlap_tokens
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(table(spark, d, "documents"), limits(spark, d, "container")[0])
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    capacity = limits(spark, d, "container")[0]
+    return packing.containers(packing.pack_texts(table(spark, d, "documents"), capacity), capacity)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    cut = chunking.pieces(table(spark, d, "documents"), *limits(spark, d, "piece"), with_text=False)
+    return cut.filter("piece = 1").select("doc_id")
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.pieces(table(spark, d, "documents"), *limits(spark, d, "piece"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_terms, p4_found, p4_report, p5_found, p5_split, p6_percentiles, p6_daily, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_terms, p4_found, p4_report, p5_found, p5_split, p6_percentiles, p6_daily, p7_ids, p8_pack, p8_containers, p9_found, p9_pieces)}
 
 
 #: Distinct points of an array column, and the pairs of ids whose point sets are near.
