@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from netloom.functions import coords as c
 from netloom.functions.tokens import rectilinear
 from netloom.operators import netseq, rewards, text_metrics, trees
 from netloom.operators.repair import repair_trees
+from netloom.plans.coords import IS_POINT, relative
 from netloom.plans.registry import query
 from netloom.plans.texts import TREE
 from netloom.session import stored, table
@@ -55,7 +58,7 @@ def g4_tree_edges(spark: SparkSession, d: str) -> DataFrame:
     + """
 SELECT id AS net_id, count(*) AS n_edges, count(*) FILTER ((x <> px)::INT + (y <> py)::INT + (m <> pm)::INT <= 1) AS n_rectilinear FROM edg GROUP BY id"""
 )
-def p14_rectilinear(spark: SparkSession, d: str) -> DataFrame:
+def sel14_rectilinear(spark: SparkSession, d: str) -> DataFrame:
     """Edges that differ on at most one axis."""
     e = trees.tree_edges(table(spark, d, "net_seqs"), "net_id", "tree_seq").select("net_id", F.explode("edges").alias("e"))
     return e.groupBy("net_id").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(rectilinear(F.col("e.s"), F.col("e.e"))).alias("n_rectilinear"))
@@ -111,6 +114,50 @@ def m4_repaired(spark: SparkSession, d: str) -> DataFrame:
     return fixed.withColumn("post_tree_seq", F.array_join("post_tree_seq", " ")).join(after, "sample_id")
 
 
+def _side(letter: str, tree: str) -> str:
+    """The tree's named subqueries with a prefix, and its sets of edges and leaves."""
+    names = "tok|knd|sm|lvl|pt|fin|par|cut|nod|edg"
+    text = TREE.format(key="sample_id", tree=tree, table="src")
+    text = re.sub(rf"\b({names})\b(?=\s+(AS \(|[a-z] |WHERE|GROUP|LEFT|JOIN|WINDOW|\)|,))|(?<=FROM )\b({names})\b|(?<=JOIN )\b({names})\b", lambda m: f"{letter}_{m.group(0)}", text)
+    return (
+        text
+        + f""",
+  {letter}_ends AS (SELECT id, x, y, m FROM {letter}_edg UNION ALL SELECT id, px, py, pm FROM {letter}_edg),
+  {letter}_leaf AS (
+    SELECT o.id, o.x, o.y, o.m FROM (SELECT id, x, y, m FROM {letter}_ends GROUP BY ALL HAVING count(*) = 1) o
+    JOIN {letter}_nod r ON r.id = o.id AND r.parent IS NULL AND NOT (o.x = r.x AND o.y = r.y AND o.m = r.m)),
+  {letter}_set AS (SELECT DISTINCT id, px, py, pm, x, y, m FROM {letter}_edg),
+  {letter}_sum AS (SELECT id, count(*) AS n, sum(abs(x - px) + abs(y - py)) AS w, sum(abs(m - pm) // 2) AS v FROM {letter}_edg GROUP BY id)"""
+    )
+
+
+TRUE_TREE = f"list_transform(tree_seq, lambda e: CASE WHEN e IS NULL THEN NULL WHEN NOT {IS_POINT.format('e')} THEN e ELSE {relative('e')} END)"
+SHARED = """
+  {0}s AS (SELECT s.sample_id AS id, (SELECT count(*) FROM p_{1} p WHERE p.id = s.sample_id) AS np, (SELECT count(*) FROM t_{1} t WHERE t.id = s.sample_id) AS nt,
+    (SELECT count(*) FROM p_{1} p JOIN t_{1} t USING ({2}) WHERE p.id = s.sample_id) AS nb FROM src s)"""
+
+
+@query(
+    f"WITH src AS (SELECT *, {TRUE_TREE} AS true_tree FROM token_dataset WHERE {IS_POINT.format('driver')}), "
+    + _side("p", "relative_tree_seq") + ", " + _side("t", "true_tree") + ", " + SHARED.format("e", "set", "id, px, py, pm, x, y, m") + ", " + SHARED.format("l", "leaf", "id, x, y, m")
+    + """
+SELECT s.sample_id, coalesce(s.relative_tree_seq, []) = coalesce(s.true_tree, []) AS is_perfect_match, coalesce(p.n, 0) AS num_edges_pred, coalesce(t.n, 0) AS num_edges_true,
+  e.nb / greatest(e.nt, 1) AS edge_recall, e.nb / greatest(e.np, 1) AS edge_precision, e.nb / greatest(e.np + e.nt - e.nb, 1) AS edge_iou,
+  l.np AS num_leaves_pred, l.nt AS num_leaves_true, l.nb / greatest(l.np + l.nt - l.nb, 1) AS leaf_iou, l.np = l.nb AND l.nt = l.nb AS is_leaf_set_match,
+  CAST(coalesce(p.w, 0) AS BIGINT) AS wirelength_pred, CAST(coalesce(t.w, 0) AS BIGINT) AS wirelength_true, CAST(coalesce(p.v, 0) AS BIGINT) AS num_vias_pred, CAST(coalesce(t.v, 0) AS BIGINT) AS num_vias_true
+FROM src s JOIN es e ON e.id = s.sample_id JOIN ls l ON l.id = s.sample_id LEFT JOIN p_sum p ON p.id = s.sample_id LEFT JOIN t_sum t ON t.id = s.sample_id"""
+)
+def m2_structure(spark: SparkSession, d: str) -> DataFrame:
+    """Structural metrics of the stored relative trees against those made from the absolute ones."""
+    rows = table(spark, d, "token_dataset").filter(c.is_coordinate("driver"))
+    both = rows.select("sample_id", "relative_loads", "relative_tree_seq", c.relative_tree(F.col("driver"), F.col("tree_seq")).alias("true_tree"))
+    out = trees.routing_metrics(both, "sample_id", "relative_loads", "relative_tree_seq", "true_tree")
+    return out.select(
+        "sample_id", "is_perfect_match", "num_edges_pred", "num_edges_true", "edge_recall", "edge_precision", "edge_iou", "num_leaves_pred", "num_leaves_true", "leaf_iou",
+        "is_leaf_set_match", "wirelength_pred", "wirelength_true", "num_vias_pred", "num_vias_true",
+    )
+
+
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """Each sample's tokens and those that its true tree gives."""
     rows = table(spark, d, "token_dataset")

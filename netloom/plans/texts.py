@@ -185,7 +185,7 @@ SELECT net_id, tail, pure, usable,
   regexp_replace(replace(replace(usable, '>', '[BRANCH]'), '<', '[END]'), '\((-?\d+),(-?\d+),(-?\d+)\)', '(\1, \2, \3)', 'g') AS restored
 FROM u"""
 )
-def p10_usable_sequences(spark: SparkSession, d: str) -> DataFrame:
+def sel10_usable_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Completions through the filters, and restored."""
     return completions(spark, d).select("net_id", "tail", "pure", "usable", t.restore(F.col("usable")).alias("restored"))
 
@@ -206,13 +206,13 @@ def a21_funnel(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"retained": F.try_divide(F.col("n_usable"), F.col("n_pure")), "overall": F.col("n_usable") / F.col("n_rows")})
 
 
-def p13_available_sequences(spark: SparkSession, d: str) -> DataFrame:
+def sel13_available_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Usable sequences whose steps are on one axis, as moves from their first point.
 
     Branch marks are lost on the way to the check, as they are no longer ``<`` and ``>`` after restoring: branched nets become
     chains there.
     """
-    rows = p10_usable_sequences(spark, d)
+    rows = sel10_usable_sequences(spark, d)
     points = F.regexp_extract_all("restored", F.lit(r"(\(-?\d+\s*,\s*-?\d+\s*,\s*-?\d+\))"), 1)
     from netloom.functions.coords import parse
 
@@ -223,7 +223,7 @@ def p13_available_sequences(spark: SparkSession, d: str) -> DataFrame:
     return out.select("net_id", F.coalesce(F.array_join("target", " "), F.lit("")).alias("prediction"))
 
 
-query()(p13_available_sequences)
+query()(sel13_available_sequences)
 
 
 @query(
