@@ -1,8 +1,8 @@
 """Exact order statistics by key, by refining histograms.
 
 No key's values are ever gathered: a round counts values in equal bins of each key's open intervals, with partial counts before
-the shuffle, and keeps the bin that holds each rank. What is left after a round is one row a key. A key of a third of all rows
-costs its share of a scan and at most ``bins`` counts a task.
+the shuffle, and keeps the bin that holds each rank. Bins are the values that share their leading bits, so nothing overflows. What is left after a round is one row a key. A key of a third of all rows
+costs its share of a scan and about ``bins`` counts a task.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from netloom.session import drop_stored, stored
 
 BROADCAST_KEYS = 100_000
 SALT = 32
+#: Every round halves the open intervals at least, and values have 64 bits.
+MAX_ROUNDS = 66
 
 
 def _with_state(data: DataFrame, state: DataFrame, keys: int) -> DataFrame:
@@ -34,8 +36,8 @@ def quantiles_by_key(df: DataFrame, key: str, value: str, permille: Sequence[int
     must be of an integral type. ``n_rows`` counts all rows of the key, ``n`` those whose value is not null; a key without
     values has null results. A null key is a key of its own. An empty table gives an empty result. Other columns are not read.
     """
-    if not all(0 < p <= 1000 for p in permille):
-        raise ValueError("permille must be in 1 .. 1000")
+    if not all(0 < p <= 1000 for p in permille) or bins < 2:
+        raise ValueError("permille must be in 1 .. 1000, and bins at least 2")
     # equal values of a key are one row with a count from here on
     data = stored(
         df.select(F.col(key).alias("key"), F.col(value).cast("long").alias("value")).groupBy("key", "value").agg(F.count(F.lit(1)).alias("count")), "values"
@@ -54,21 +56,26 @@ def quantiles_by_key(df: DataFrame, key: str, value: str, permille: Sequence[int
     parts = [found]
     todo = state.filter("lo < hi")
     values = data.filter("value is not null")
-    while not todo.isEmpty():
-        by_key = todo.groupBy("key").agg(F.collect_list(F.struct("p", "rank", "lo", "hi")).alias("open"))
-        width = f"cast(ceil((o.hi - o.lo + cast(1 as decimal(20,0))) / {bins}) as bigint)"
+    for _ in range(MAX_ROUNDS):
+        if todo.isEmpty():
+            break
+        shift = F.expr(f"cast(greatest(0D, ceil(log2((cast(hi as double) - cast(lo as double) + 1) / {bins}) - 1e-9)) as int)")
+        by_key = todo.withColumn("shift", shift).groupBy("key").agg(F.collect_list(F.struct("p", "rank", "lo", "hi", "shift")).alias("open"))
         hits = _with_state(values, by_key, keys).select("key", "value", "count", F.explode("open").alias("o")).filter("value between o.lo and o.hi")
-        hits = hits.select("key", "o.*", "count", F.expr(f"(value - o.lo) div {width}").alias("bin"), F.expr(width).alias("width"))
-        counted = hits.groupBy("key", "p", "rank", "lo", "hi", "width", "bin").agg(F.sum("count").alias("count"))
+        hits = hits.select("key", "o.*", "count", F.expr("shiftright(value, o.shift)").alias("bin"))
+        counted = hits.groupBy("key", "p", "rank", "lo", "hi", "shift", "bin").agg(F.sum("count").alias("count"))
         order = Window.partitionBy("key", "p").orderBy("bin")
+        least, rest = "shiftleft(bin, shift)", "if(shift = 0, 0L, shiftrightunsigned(-1L, 64 - shift))"
         chosen = (
             counted.withColumn("upto", F.sum("count").over(order))
             .filter("upto >= rank and upto - count < rank")
-            .selectExpr("key", "p", "rank - (upto - count) as rank", "lo + bin * width as lo", "least(hi, lo + bin * width + width - 1) as hi")
+            .selectExpr("key", "p", "rank - (upto - count) as rank", f"greatest(lo, {least}) as lo", f"least(hi, {least} | {rest}) as hi")
         )
         then = stored(chosen, "ranks")
         parts.append(then.filter("lo = hi").select("key", "p", F.col("lo").alias("quantile")))
         todo = then.filter("lo < hi")
+    else:
+        raise RuntimeError(f"ranks did not resolve in {MAX_ROUNDS} rounds")
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
