@@ -184,7 +184,7 @@ class Forest:
         if weight is None:
             return np.bincount(self.row[at], minlength=self.rows)
         if weight.dtype.kind == "f":
-            return np.bincount(self.row[at], weights=weight, minlength=self.rows)
+            return np.bincount(self.row[at], weights=weight, minlength=self.rows).astype(np.float64)
         total = np.zeros(self.rows, dtype=np.int64)
         np.add.at(total, self.row[at], weight)
         return total
@@ -277,8 +277,8 @@ class Forest:
 
 
 def mix(*columns: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of rows of integers."""
-    h = np.full(len(columns[0]), 0x243F6A8885A308D3, dtype=np.uint64)
+    """A 64-bit hash of rows of integers. Rows of different width start apart, so hashes may be hashed again with others."""
+    h = np.full(len(columns[0]), 0x243F6A8885A308D3 ^ (len(columns) * 0x3C6EF372FE94F82B & (1 << 64) - 1), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for c in columns:
             h = (h ^ c.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)

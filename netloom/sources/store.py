@@ -141,7 +141,7 @@ def edges_text(df: DataFrame, design: str, net: str, edges: str) -> DataFrame:
     """``design`` and ``value``: lines of each net, its name and two points an edge with halved layers."""
     line = lambda p: F.concat_ws(" ", p["x"], p["y"], F.expr("1L") * F.floor(p["m"] / 2))
     lines = F.transform(edges, lambda e: F.concat_ws(" ", line(e["s"]), line(e["e"])))
-    return df.select(F.col(design).alias("design"), F.concat_ws("\n", F.lit("net_name"), F.col(net), F.array_join(lines, "\n")).alias("value"))
+    return df.select(F.col(design).alias("design"), F.concat_ws("\n", F.lit("net_name"), F.col(net), F.when(F.size(lines) > 0, F.array_join(lines, "\n"))).alias("value"))
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, kind: str = "json") -> None:
