@@ -212,8 +212,8 @@ def repair(driver: Point, edges: list[Edge], loads: list[Point]) -> tuple[list[s
     return tokens, (removed[0], removed[1], grown[0], grown[1])
 
 
-def repair_trees(df: DataFrame, key: str, tree: str, loads: str) -> DataFrame:
-    """``key``, ``post_tree_seq`` and ``post_remove_wirelength_cost, post_remove_via_cost, post_add_wirelength_cost, post_add_via_cost``.
+def repair_trees(df: DataFrame, key: str, tree: str, loads: str, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """``key``, ``keep``, ``post_tree_seq`` and ``post_remove_wirelength_cost, post_remove_via_cost, post_add_wirelength_cost, post_add_via_cost``.
 
     Trees and loads are relative to the driver. Rows without loads keep their tree, re-serialised, at no cost; loads that are no
     coordinates are left out. A null or empty tree is its driver alone.
@@ -243,4 +243,4 @@ def repair_trees(df: DataFrame, key: str, tree: str, loads: str) -> DataFrame:
         return [pa.array(out, pa.list_(pa.string()))] + [pa.array(c, pa.float64()) for c in columns]
 
     names = ["post_remove_wirelength_cost", "post_remove_via_cost", "post_add_wirelength_cost", "post_add_via_cost"]
-    return map_batches(df, [tree, loads], "post_tree_seq array<string>, " + ", ".join(f"{n} double" for n in names), run, [key], rows=500)
+    return map_batches(df, [tree, loads], "post_tree_seq array<string>, " + ", ".join(f"{n} double" for n in names), run, [key, *keep], rows=500)

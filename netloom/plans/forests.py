@@ -13,7 +13,7 @@ from netloom.operators import netseq, rewards, text_metrics, trees
 from netloom.operators.repair import repair_trees
 from netloom.plans.coords import IS_POINT, relative
 from netloom.plans.registry import query
-from netloom.plans.texts import TREE
+from netloom.plans.texts import TARGETS, TREE
 from netloom.session import stored, table
 
 NET_TREE = "WITH RECURSIVE " + TREE.format(key="net_id", tree="tree_seq", table="net_seqs")
@@ -107,11 +107,9 @@ def m2_routing_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def m4_repaired(spark: SparkSession, d: str) -> DataFrame:
     """Repaired trees and their costs, with the metrics after repair."""
-    rows = routed(spark, d)
-    fixed = stored(repair_trees(rows, "sample_id", "pred", "relative_loads"), "repaired")
-    both = rows.select("sample_id", "relative_loads", "true").join(fixed, "sample_id")
-    after = trees.routing_metrics(both, "sample_id", "relative_loads", "post_tree_seq", "true", "post_")
-    return fixed.withColumn("post_tree_seq", F.array_join("post_tree_seq", " ")).join(after, "sample_id")
+    fixed = stored(repair_trees(routed(spark, d), "sample_id", "pred", "relative_loads", ["relative_loads", "true"]), "repaired")
+    after = trees.routing_metrics(fixed, "sample_id", "relative_loads", "post_tree_seq", "true", "post_")
+    return fixed.drop("relative_loads", "true").withColumn("post_tree_seq", F.array_join("post_tree_seq", " ")).join(after, "sample_id")
 
 
 def _side(letter: str, tree: str) -> str:
@@ -171,6 +169,39 @@ def m1_text_metrics(spark: SparkSession, d: str) -> DataFrame:
     return text_metrics.text_metrics(texts(spark, d), "sample_id", "made", "target_tokens")
 
 
+def _words(text: str) -> str:
+    return f"list_filter(string_split_regex(coalesce({text}, ''), '\\s+'), lambda t: t <> '')"
+
+
+def _grams(side: str) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT id, {n} AS n, unnest(list_transform(range(1, len({side}) - {n} + 2), lambda i: array_to_string({side}[i:i + {n - 1}], ' '))) AS g FROM pair" for n in range(1, 5)
+    )
+    return f"{side}_g AS (SELECT id, n, g, count(*) AS c FROM ({parts}) GROUP BY ALL)"
+
+
+def _bleu(n: int) -> str:
+    logs = " + ".join(f"ln(CASE WHEN s{i} > 0 THEN s{i} ELSE 0.1 END / greatest(np - {i - 1}, 1))" for i in range(1, n + 1))
+    return f"CASE WHEN nt > 0 AND np > 0 AND s1 > 0 THEN round(exp(CASE WHEN np > nt THEN 0 ELSE 1 - nt / np END + ({logs}) / {n}), 9) ELSE 0 END AS bleu_{n}"
+
+
+@query(
+    f"""
+WITH made AS ({TARGETS}),
+  pair AS (SELECT s.sample_id AS id, {_words('m.target')} AS t, {_words('s.target_tokens')} AS p, trim(coalesce(m.target, ''), ' \t\n\r') = trim(coalesce(s.target_tokens, ''), ' \t\n\r') AS same
+    FROM token_dataset s LEFT JOIN made m ON m.sample_id = s.sample_id),
+  {_grams('t')}, {_grams('p')},
+  sh AS (SELECT id, {', '.join(f'coalesce(sum(least(a.c, b.c)) FILTER (n = {i}), 0) AS s{i}' for i in range(1, 5))} FROM t_g a JOIN p_g b USING (id, n, g) GROUP BY id),
+  f AS (SELECT b.id, same, len(t) AS nt, len(p) AS np, {', '.join(f'coalesce(s{i}, 0) AS s{i}' for i in range(1, 5))} FROM pair b LEFT JOIN sh ON sh.id = b.id)
+SELECT id AS sample_id, round(CASE WHEN s1 > 0 THEN 2 * s1 / (nt + np) ELSE 0 END, 9) AS rouge1_f, round(CASE WHEN s2 > 0 THEN 2 * s2 / (nt + np - 2) ELSE 0 END, 9) AS rouge2_f,
+  {_bleu(1)}, {_bleu(2)}, {_bleu(4)}, CAST(same AS DOUBLE) AS exact_match FROM f""".replace("' \\t\\n\\r'", "' ' || chr(9) || chr(10) || chr(13)").replace("' \t\n\r'", "' ' || chr(9) || chr(10) || chr(13)")
+)
+def m1_ngram_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """M1: the metrics of token runs, which SQL can count."""
+    out = m1_text_metrics(spark, d).drop("rougel_f")
+    return out.select("sample_id", *[F.round(n, 9).alias(n) for n in ("rouge1_f", "rouge2_f", "bleu_1", "bleu_2", "bleu_4")], "exact_match")
+
+
 @query()
 def m6_rewards(spark: SparkSession, d: str) -> DataFrame:
     """Every reward of a sample's tokens."""

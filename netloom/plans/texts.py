@@ -124,7 +124,7 @@ TREE = PARSED + """,
   edg AS (SELECT c.id, c.i, p.i AS pi, p.x AS px, p.y AS py, p.m AS pm, c.x, c.y, c.m FROM nod c JOIN nod p ON p.id = c.id AND p.i = c.parent)"""
 
 
-@query(
+TARGETS = (
     "WITH "
     + PARSED.format(key="sample_id", tree="relative_tree_seq", table="token_dataset")
     + f""",
@@ -136,6 +136,9 @@ TREE = PARSED + """,
 SELECT s.sample_id, concat_ws(' ', a.w, CASE WHEN o.lv > 0 THEN rtrim(repeat('<POP> ', CAST(o.lv AS INTEGER))) END, '<EOS>') AS target
 FROM token_dataset s LEFT JOIN a ON a.id = s.sample_id LEFT JOIN o ON o.id = s.sample_id WHERE s.relative_tree_seq IS NOT NULL"""
 )
+
+
+@query(TARGETS)
 def f27_target_text(spark: SparkSession, d: str) -> DataFrame:
     """The moves that draw a relative tree."""
     rows = table(spark, d, "token_dataset").filter("relative_tree_seq is not null")
