@@ -208,11 +208,14 @@ def near_groups(df: DataFrame, key: str = "net_id", tree: str = "tree_seq", bloc
 
 
 def near_pairs(df: DataFrame, key: str = "net_id", tree: str = "tree_seq", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Pairs ``net_a`` < ``net_b`` of keys in the same group, copies included. Its size is that of the result asked for."""
+    """Pairs ``net_a`` < ``net_b`` of keys in the same group, copies included. Its size is that of the result asked for.
+
+    Keys must be unique: a key with rows in two groups is in pairs of both.
+    """
     rows, groups, _ = _grouped(df, key, tree, block_rows)
-    shared = rows.select("id", "k1", "k2").join(groups, ["k1", "k2"]).select("group_id", "id")
+    shared = rows.select("id", "k1", "k2").join(groups, ["k1", "k2"]).select("group_id", "id").distinct()
     left, right = shared.select("group_id", F.col("id").alias("net_a")), shared.select("group_id", F.col("id").alias("net_b"))
-    return left.join(right, "group_id").filter("net_a < net_b").select("net_a", "net_b").distinct()
+    return left.join(right, "group_id").filter("net_a < net_b").select("net_a", "net_b")
 
 
 def _grouped(df: DataFrame, key: str, tree: str, block_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
