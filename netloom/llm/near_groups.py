@@ -30,8 +30,8 @@ from netloom.session import stored
 
 BLOCK_ROWS = 4096
 FAN = 8
-FRONTIER = 1 << 19
-BATCH_ROWS = 1 << 17
+FRONTIER = 1 << 17
+BATCH_ROWS = 1 << 16
 
 
 def gray_rank(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,35 +79,40 @@ class GrayIndex:
             side = side[self.order]
         top = len(self.levels) - 1
         roots = np.arange(len(self.levels[top][0]))
-        stack = [(top, roots, roots)]
+        # pairs of nodes still to test, or tested and still to open; never more than FRONTIER of a level are made at once
+        stack = [(top, roots, roots, False)]
         while stack:
-            level, a, b = stack.pop()
-            if len(a) > FRONTIER:
-                half = len(a) // 2
-                stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
-                continue
+            level, a, b, tested = stack.pop()
             code, mask, least, most, first, end = self.levels[level]
-            differ = np.bitwise_count((code[a] ^ code[b]) & mask[a] & mask[b]).sum(axis=1, dtype=np.int64)
-            # sizes x, y allow (x + y) // 9 different points, and x - y is part of these
-            gap = np.maximum(least[a] - most[b], least[b] - most[a])
-            able = np.maximum(differ, gap) <= (most[a] + most[b]) // 9
-            a, b = a[able], b[able]
-            if level == 0:
-                keep = a != b
-                if side is not None:
-                    keep &= side[a] != side[b]
-                if keep.any():
-                    yield self.order[a[keep]], self.order[b[keep]]
-                continue
-            if not len(a):
-                continue
+            if not tested:
+                if len(a) > FRONTIER:
+                    stack += [(level, a[FRONTIER:], b[FRONTIER:], False), (level, a[:FRONTIER], b[:FRONTIER], False)]
+                    continue
+                differ = np.bitwise_count((code[a] ^ code[b]) & mask[a] & mask[b]).sum(axis=1, dtype=np.int64)
+                # sizes x, y allow (x + y) // 9 different points, and x - y is part of these
+                gap = np.maximum(least[a] - most[b], least[b] - most[a])
+                able = np.maximum(differ, gap) <= (most[a] + most[b]) // 9
+                a, b = a[able], b[able]
+                if level == 0:
+                    keep = a != b
+                    if side is not None:
+                        keep &= side[a] != side[b]
+                    if keep.any():
+                        yield self.order[a[keep]], self.order[b[keep]]
+                    continue
+                if not len(a):
+                    continue
             na, nb = end[a] - first[a], end[b] - first[b]
             count = na * nb
+            cut = max(1, int(np.searchsorted(np.cumsum(count), FRONTIER, side="right")))
+            if cut < len(a):
+                stack.append((level, a[cut:], b[cut:], True))
+                a, b, nb, count = a[:cut], b[:cut], nb[:cut], count[:cut]
             row = np.repeat(np.arange(len(a)), count)
             k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             ca, cb = first[a][row] + k // nb[row], first[b][row] + k % nb[row]
             keep = ca <= cb
-            stack.append((level - 1, ca[keep], cb[keep]))
+            stack.append((level - 1, ca[keep], cb[keep], False))
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
