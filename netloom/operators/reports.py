@@ -97,10 +97,33 @@ def ordered_categories(df: DataFrame, category: Column, values: Sequence[str], o
     return dims.join(means, "category", "left").select("position", "category", *values)
 
 
+def interpolated_quantile(df: DataFrame, by: Sequence[str], value: str, q: float) -> DataFrame:
+    """Per group ``lo``, the least value, and ``hi``, the quantile with linear interpolation, of a column without nulls.
+
+    Values are counted before they are sorted, and sorting spills: no group has to fit into memory.
+    """
+    from netloom.operators.ranking import ordered
+
+    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    if by:
+        upto = counts.withColumn("cum__c", F.sum("_c").over(Window.partitionBy(*by).orderBy("_v")))
+    else:
+        upto = ordered(counts, [F.col("_v")], ["_c"])
+    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min("_v").alias("lo")).withColumn("_at", (F.col("_n") - 1) * q)
+    named = totals.select(*[F.col(b).alias(f"_{b}") for b in by], "lo", "_at")
+    on = F.lit(True)
+    for b in by:
+        on = on & upto[b].eqNullSafe(named[f"_{b}"])
+    both = upto.join(named, on)
+    pick = lambda f: F.max(F.when((F.col("cum__c") - F.col("_c") < f("_at") + 1) & (f("_at") + 1 <= F.col("cum__c")), F.col("_v")))
+    ends = both.groupBy(*by).agg(F.first("lo").alias("lo"), F.first("_at").alias("_at"), pick(F.floor).alias("_a"), pick(F.ceil).alias("_b"))
+    return ends.select(*by, "lo", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias("hi"))
+
+
 def histogram(df: DataFrame, value: str, bins: int = 50, by: Sequence[str] = (), upper: float = 0.95) -> DataFrame:
     """Counts in equal bins between the least value and a quantile, for plots; larger values are left out. Null and NaN do not count."""
     rows = df.select(*by, number(value).alias("v")).filter("v is not null")
-    ends = rows.groupBy(*by).agg(F.min("v").alias("lo"), F.percentile("v", F.lit(upper)).alias("hi"))
+    ends = interpolated_quantile(rows, by, "v", upper)
     named = ends.select(*[F.col(b).alias(f"_{b}") for b in by], "lo", "hi")
     on = F.lit(True)
     for b in by:
