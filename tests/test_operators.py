@@ -212,3 +212,29 @@ def test_advantages(spark):
     out = {r.k: r.advantage for r in rewards.advantages(df, "g", "r").collect()}
     assert out[1] == 0.0 and out[6] is None and out[7] == 0.0 and len(out) == 7
     assert out[5] == pytest.approx(1 / (np.std([1, 3], ddof=1) + 1e-4))
+
+
+def test_timing_and_power_reports(spark):
+    text = (
+        "timeDesign Summary\n-----\nSetup views included:\n v\n| Setup mode | all | reg2reg | default |\n"
+        "|  WNS (ns):|  -0.125 | 1 | 2 |\n|  TNS (ns):|  -3.5 | 1 | 2 |\nDensity: 71.25%\n"
+        "Total Power\n-----\nTotal Internal Power:   1.5  (30%)\nTotal Switching Power:  2.25 x\nTotal Leakage Power: 0.5 y\nTotal Power:  4.25\n"
+    )
+    df = spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "k int, c string")
+    out = {r.k: r for r in df.select("k", *logs.timing(F.col("c")), *logs.power(F.col("c"))).collect()}
+    assert tuple(out[1])[1:] == ("-0.125", "-3.5", "71.25", "1.5", "2.25", "0.5", "4.25")
+    assert all(v is None for k in (2, 3) for v in tuple(out[k])[1:])
+
+
+@pytest.mark.parametrize("upper", [0.5, 0.95])
+def test_interpolated_quantiles(spark, upper):
+    from netloom.operators.reports import interpolated_quantile
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", None]), rng.choice([1.0, 2.5, rng.random()])) for _ in range(201)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    whole = interpolated_quantile(df, [], "v", upper).first()
+    assert whole.hi == pytest.approx(np.quantile([v for _, v in rows], upper))
+    for r in interpolated_quantile(df, ["g"], "v", upper).collect():
+        values = [v for g, v in rows if g == r.g]
+        assert r.hi == pytest.approx(np.quantile(values, upper)) and r.lo == min(values)
