@@ -26,8 +26,9 @@ def expected(rows):
     return closed((a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b]))
 
 
-@pytest.mark.parametrize("seed,block_rows", [(1, 4096), (2, 3), (3, 1)])
-def test_pairs_equal_brute_force(spark, seed, block_rows):
+@pytest.mark.parametrize("seed,block_rows,node_rows", [(1, 4096, 1024), (2, 3, 4), (3, 1, 2)])
+def test_pairs_equal_brute_force(spark, monkeypatch, seed, block_rows, node_rows):
+    monkeypatch.setattr(g, "NODE_ROWS", node_rows)
     rows = rows_of(seed)
     df = spark.createDataFrame(rows, SCHEMA)
     found = {(r.net_a, r.net_b) for r in g.near_pairs(df, block_rows=block_rows).collect()}
@@ -60,14 +61,12 @@ def test_empty_table(spark):
 
 
 def test_gray_rank_orders_neighbours_one_bit_apart():
-    rng = np.random.default_rng(1)
     values = np.arange(64, dtype=np.uint64)
     codes = np.stack([np.zeros(64, np.uint64), values ^ (values >> np.uint64(1))], axis=1)
-    high, low = g.gray_rank(codes)
+    high, low = g.gray_rank(codes).T
     assert (low == values).all() and (high == 0).all()
     # a set bit in the high word reverses the low one
-    assert g.gray_rank(np.array([[1, 0]], dtype=np.uint64))[1][0] == 2**64 - 1
-    assert rng is not None
+    assert g.gray_rank(np.array([[1, 0]], dtype=np.uint64))[0, 1] == 2**64 - 1
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -78,17 +77,48 @@ def test_index_finds_what_a_full_comparison_finds(seed):
     base = rng.integers(0, 2**63, (20, 2)).astype(np.uint64)
     codes = base[rng.integers(0, 20, n)] ^ (np.uint64(1) << rng.integers(0, 64, (n, 2)).astype(np.uint64))
     sizes = rng.integers(8, 60, n)
+    word = rng.integers(0, 3, n).astype(np.uint64)
+    codes = np.concatenate([word[:, None], codes], axis=1)
     found = {tuple(sorted(p)) for a, b in g.GrayIndex(block, codes, sizes).pairs() for p in zip(a.tolist(), b.tolist())}
     wanted = set()
     for i in range(n):
         for j in range(i + 1, n):
-            if block[i] == block[j]:
+            if block[i] == block[j] and word[i] == word[j]:
                 d = int(np.bitwise_count(codes[i] ^ codes[j]).sum())
                 if max(d, abs(int(sizes[i]) - int(sizes[j]))) <= (sizes[i] + sizes[j]) // 9:
                     wanted.add((i, j))
     assert found == wanted
 
 
+def test_most_pairs_are_pruned_above_the_leaves():
+    rng = np.random.default_rng(9)
+    n = 3000
+    codes = rng.integers(0, 2**63, (n, 3)).astype(np.uint64)
+    codes[1::100] = codes[::100]
+    index = g.GrayIndex(np.zeros(n, np.int64), codes, np.full(n, 30))
+    found = sum(len(a) for a, _ in index.pairs())
+    assert found == n // 100
+    assert sum(v for k, v in index.pruned_rows.items() if k) > 0.9 * n * n / 2
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_near_sets_share_a_word(seed):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(8, 120))
+    one = rng.choice(2**62, n, replace=False)
+    d = n // 4
+    lost = int(rng.integers(0, d + 1))
+    two = np.concatenate([one[lost:], rng.choice(2**62, d - lost, replace=False)])
+    if (len(one) + len(two)) // 9 < d:
+        return
+    batch = pa.RecordBatch.from_pydict({"n": np.array([len(one), len(two)], np.int32), "pts": [sorted(one.tolist()), sorted(two.tolist())], "scheme": [0, 0]})
+    e = g._fingerprints(batch, 0)
+    keys = [{(s, j, w) for r, s, j, w in zip(e["row"], e["scheme"], e["j"], e["word"]) if r == i} for i in (0, 1)]
+    assert keys[0] & keys[1]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
