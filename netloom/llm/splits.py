@@ -1,18 +1,20 @@
-"""Splits that keep related records together."""
+"""Splits that keep related records together: components of tied entities, hashed into ranges of the wanted proportions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.components import components
 from netloom.session import stored
 
 MOST_DESIGNS = 8
-BUCKETS = 4096
-HEAVY = 1024
+SEEDS = 64
+BUCKETS = 1024
 
 
 def ties(df: DataFrame, entity: str = "source_design", name: str = "net_name", most: int = MOST_DESIGNS) -> DataFrame:
@@ -27,63 +29,94 @@ def ties(df: DataFrame, entity: str = "source_design", name: str = "net_name", m
     return held.join(shared.select("name", "v"), "name").filter("u <> v").select("u", "v").distinct()
 
 
+def grouped(tie: DataFrame) -> DataFrame:
+    """``id`` and ``component`` of the entities of some ties, both as 64-bit hashes of names: rounds move and compare numbers."""
+    return components(tie.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"))).withColumnRenamed("node", "id")
+
+
 def tied_pairs(df: DataFrame, entity: str = "source_design", name: str = "net_name", most: int = MOST_DESIGNS) -> DataFrame:
     """Pairs ``design_a`` < ``design_b`` that must share a split, directly or through others."""
-    of = components(ties(df, entity, name, most))
-    left, right = of.select("component", F.col("node").alias("design_a")), of.select("component", F.col("node").alias("design_b"))
+    tie = stored(ties(df, entity, name, most), "ties")
+    names = tie.select(F.explode(F.array("u", "v")).alias("design")).distinct()
+    of = names.withColumn("id", F.xxhash64("design")).join(grouped(tie), "id")
+    left, right = of.select("component", F.col("design").alias("design_a")), of.select("component", F.col("design").alias("design_b"))
     return left.join(right, "component").filter("design_a < design_b").select("design_a", "design_b")
 
 
-def assign(df: DataFrame, plan: Sequence[tuple[str, float]], key: str = "net_id", entity: str = "source_design", name: str = "net_name") -> DataFrame:
-    """``key``, ``component`` and ``split`` of every row.
+def place_of(*what: Column) -> Column:
+    """A hash as a place in [0, 1)."""
+    return F.pmod(F.xxhash64(*what), F.lit(1 << 52)) / float(1 << 52)
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """A seed, and the ranges of [0, 1) by split: each ends where the next begins."""
+
+    seed: int
+    ends: tuple[tuple[str, float], ...]
+
+    def split_of(self, what: Column) -> Column:
+        place = place_of(what, F.lit(self.seed))
+        out = F
+        for split, end in self.ends[:-1]:
+            out = out.when(place < end, split)
+        last = self.ends[-1][0]
+        return F.lit(last) if out is F else out.otherwise(last)
+
+
+def ranges_for(sizes: DataFrame, plan: Sequence[tuple[str, float]], loose: int = 0, seeds: int = SEEDS) -> Ranges:
+    """Ranges of the hash of ``component`` that hold ``rows`` in the ratios of ``plan``, the longest first.
+
+    The line is counted in ``BUCKETS`` buckets and cut between buckets where the rows so far are nearest to the ratios; of the seeds below
+    ``seeds`` the one that comes nearest is taken. ``loose`` rows lie evenly. At most ``seeds * BUCKETS`` counts reach the driver.
+    """
+    plan = sorted(plan, key=lambda x: (-x[1], x[0]))
+    wanted = np.cumsum([r for _, r in plan]) / sum(r for _, r in plan)
+    tried = sizes.select("component", "rows", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
+    counts = tried.groupBy("seed", F.floor(place_of(F.col("component"), F.col("seed")) * BUCKETS).cast("int").alias("bucket")).agg(F.sum("rows").alias("rows")).toArrow()
+    line = np.full((seeds, BUCKETS), loose / BUCKETS)
+    line[counts["seed"].to_numpy(), counts["bucket"].to_numpy()] += counts["rows"].to_numpy()
+    upto = np.concatenate([np.zeros((seeds, 1)), np.cumsum(line, axis=1)], axis=1)
+    upto /= np.maximum(upto[:, -1:], 1)
+    best, chosen = np.inf, Ranges(0, tuple((n, float(w)) for (n, _), w in zip(plan, wanted)))
+    for seed in range(seeds):
+        at = np.abs(upto[seed][:, None] - wanted).argmin(axis=0)
+        at[-1] = BUCKETS
+        share = np.diff(np.concatenate([[0], upto[seed][at]]))
+        miss = np.abs(share - [r for r in np.diff(np.concatenate([[0], wanted]))]).max()
+        if upto[seed][-1] and miss < best - 1e-12:
+            best, chosen = miss, Ranges(seed, tuple((n, float(x / BUCKETS)) for (n, _), x in zip(plan, at)))
+    return chosen
+
+
+def sized(df: DataFrame, entity: str = "source_design", name: str = "net_name") -> tuple[DataFrame, DataFrame]:
+    """``node`` and ``c`` of every entity, and ``c``, ``component`` (its least entity) and ``rows`` of every component."""
+    weights = df.select(F.col(entity).alias("node")).filter("node <> ''").groupBy("node").agg(F.count(F.lit(1)).alias("rows")).withColumn("id", F.xxhash64("node"))
+    found = weights.join(grouped(ties(df, entity, name)), "id", "left").select("node", "rows", F.coalesce("component", "id").alias("c"))
+    groups = stored(found, "groups")
+    return groups, stored(groups.groupBy("c").agg(F.min("node").alias("component"), F.sum("rows").alias("rows")), "sizes")
+
+
+def assign(
+    df: DataFrame, plan: Sequence[tuple[str, float]], key: str = "net_id", entity: str = "source_design", name: str = "net_name", ranges: Ranges | None = None
+) -> DataFrame:
+    """``key``, ``component`` (its least entity) and ``split`` of every row.
 
-    All rows of a component share a split. Components are laid along a line in proportion to their rows, those of more than
-    1/1024 of all rows first, by size, the rest by the hash of their identifier in 4096 buckets; the line is cut by the ratios
-    of ``plan``, the largest first, and the middle of a component or bucket decides. So the splits miss the ratios by about a
-    bucket's share unless single components are larger than a split. Only these at most 1024 + 4096 weights reach the driver.
+    All rows of a component share a split: its identifier is hashed with a seed into [0, 1), which is cut into ranges that hold rows in
+    the ratios of ``plan``. One rule for components of every size. A seed places large components by chance, so without ``ranges``
+    :func:`ranges_for` takes the best of ``SEEDS``; give the ranges of an earlier run to keep every component that has not changed in its
+    split when rows arrive.
 
-    Rows with a null or empty entity are components of their own, by the hash of their key. Repeated rows stay.
+    Rows with a null or empty entity are components of their own, by the hash of their key, and come out with a null component.
+    Repeated rows stay. Shares are met to about the rows of a bucket, unless single components are too large for any seed.
     """
-    total = sum(ratio for _, ratio in plan)
-    if total <= 0 or any(ratio < 0 for _, ratio in plan):
+    if sum(ratio for _, ratio in plan) <= 0 or any(ratio < 0 for _, ratio in plan):
         raise ValueError("ratios must not be negative, and not all zero")
-    found = components(ties(df, entity, name))
     rows = df.select(F.col(key).alias("key"), F.col(entity).alias("node"))
-    weights = rows.filter("node <> ''").groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
-    groups = stored(
-        weights.join(found, "node", "left").select("node", "rows", F.coalesce("component", "node").alias("component")), "groups"
-    )
-    bucket = F.pmod(F.xxhash64("component"), F.lit(BUCKETS)).cast("int")
-    sizes = stored(groups.groupBy("component").agg(F.sum("rows").alias("rows")).withColumn("bucket", bucket), "sizes")
-    alone = rows.filter("node is null or node = ''").select(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-    loose = alone.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-    all_rows = (sizes.agg(F.sum("rows")).first()[0] or 0) + (loose.agg(F.sum("rows")).first()[0] or 0)
-    heavy = {r.component: r.rows for r in sizes.filter(F.col("rows") > all_rows / HEAVY).orderBy(F.desc("rows"), "component").collect()}
-    light = sizes.filter(F.col("rows") <= all_rows / HEAVY).select("bucket", "rows").unionByName(loose.select("bucket", "rows"))
-    buckets = {r.bucket: r.rows for r in light.groupBy("bucket").agg(F.sum("rows").alias("rows")).orderBy("bucket").collect()}
-    ordered = sorted(plan, key=lambda x: (-x[1], x[0]))
-    laid: dict[object, str] = {}
-    done = 0.0
-    for unit, size in [*heavy.items(), *buckets.items()]:
-        middle, reached = (done + size / 2) / all_rows, 0.0
-        for split, ratio in ordered:
-            reached += ratio / total
-            laid[unit] = split
-            if middle < reached:
-                break
-        done += size
-    spark = df.sparkSession
-    fallback = ordered[0][0]
-    heavy_map = spark.createDataFrame([(c, laid[c]) for c in heavy] or [(None, None)], "component string, heavy_split string")
-    bucket_map = spark.createDataFrame([(b, laid.get(b, fallback)) for b in range(BUCKETS)], "bucket int, split string")
-    of_component = (
-        sizes.join(F.broadcast(heavy_map), "component", "left").join(F.broadcast(bucket_map), "bucket")
-        .select("component", F.coalesce("heavy_split", "split").alias("split"))
-    )
-    of_node = groups.join(of_component, "component").select("node", "component", "split")
-    known = rows.filter("node <> ''").join(of_node, "node").select("key", "component", "split")
-    rest = (
-        rows.filter("node is null or node = ''").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
-        .join(F.broadcast(bucket_map), "bucket").select("key", F.lit(None).cast("string").alias("component"), "split")
-    )
+    groups, sizes = sized(df, entity, name)
+    if ranges is None:
+        ranges = ranges_for(sizes, plan, rows.filter("node is null or node = ''").count())
+    laid = sizes.select("c", "component", ranges.split_of(F.col("component")).alias("split"))
+    known = rows.filter("node <> ''").join(groups.join(laid, "c").select("node", "component", "split"), "node").select("key", "component", "split")
+    rest = rows.filter("node is null or node = ''").select("key", F.lit(None).cast("string").alias("component"), ranges.split_of(F.col("key")).alias("split"))
     return known.unionByName(rest).withColumnRenamed("key", key)
