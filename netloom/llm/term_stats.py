@@ -16,17 +16,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.session import stored
+
 #: Runs without space, tab and line feed.
 TERMS = "filter(split({0}, '[ \\\\t\\\\n]'), t -> t <> '')"
 
 
 def record_terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``token``, ``record`` and ``occ``: the distinct terms of every row with their number in it."""
+    """``token``, ``record``, ``occ`` and ``first``: the distinct terms of every row with their number in it, one of them marked as the first."""
     rows = df.select(F.col(key).alias("record"), F.col(text).cast("string").alias("text")).filter("text is not null")
     rows = rows.select("record", F.expr(f"sort_array({TERMS.format('text')})").alias("s")).filter("size(s) > 0")
     rows = rows.select("record", "s", F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 or s[i] <> s[i - 1])").alias("at"))
-    runs = "transform(at, (p, j) -> struct(s[p] as token, coalesce(get(at, j + 1), size(s)) - p as occ))"
-    return rows.select("record", F.expr(f"inline({runs})")).select("token", "record", F.col("occ").cast("long").alias("occ"))
+    runs = "transform(at, (p, j) -> struct(s[p] as token, coalesce(get(at, j + 1), size(s)) - p as occ, j = 0 as first))"
+    return rows.select("record", F.expr(f"inline({runs})")).select("token", "record", F.col("occ").cast("long").alias("occ"), "first")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +50,12 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     Terms are compared as written. Null, empty and blank texts have none. Every row counts as a record, also one that repeats
     another or its key; the key only spreads the sort. An empty table gives an empty result.
     """
-    pairs = record_terms(df, key, text).repartitionByRange(F.col("token"), F.col("record")).sortWithinPartitions("token", "record")
+    return _sorted_counts(stored(record_terms(df, key, text), "record-terms"))
+
+
+def _sorted_counts(terms: DataFrame) -> DataFrame:
+    # range boundaries are sampled in a pass of their own, so the texts are split once, into a table, which is read twice
+    pairs = terms.select("token", "record", "occ").repartitionByRange(F.col("token"), F.col("record")).sortWithinPartitions("token", "record")
     partial = pairs.select("token", "occ").mapInArrow(_scan, "token string, occurrences bigint, records bigint")
     return partial.groupBy("token").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
@@ -60,5 +67,6 @@ def mark(records: Column, total: Column, rare: int = 2, common: float = 0.5) ->
 
 def term_statistics(df: DataFrame, key: str, text: str, rare: int = 2, common: float = 0.5) -> DataFrame:
     """:func:`term_counts` with a ``mark``; the share is of the rows that have a term."""
-    total = df.filter(F.col(text).rlike("[^ \\t\\n]")).agg(F.count(F.lit(1))).scalar()
-    return term_counts(df, key, text).withColumn("mark", mark(F.col("records"), total, rare, common))
+    terms = stored(record_terms(df, key, text), "record-terms")
+    total = terms.filter("first").count()
+    return _sorted_counts(terms).withColumn("mark", mark(F.col("records"), F.lit(total), rare, common))
