@@ -1,12 +1,15 @@
 """Filling containers of fixed capacity by harmonic classes.
 
-An item of size s is of class ``capacity div s``. A container of class j takes exactly j items of that class, which always fit,
-so every worker fills containers by counting, without seeing other workers or comparing sizes. Items of at most
-``capacity / CLASSES`` are *small*: they top up what the counted containers of the same worker have left over, fullest need
-first, and then share containers of their own.
+An item of size s is of class ``j = capacity div s``, so no item of the class is larger than ``capacity div j``. Classes are taken from
+the largest items down. A container with room r takes exactly ``r div (capacity div j)`` items of class j, which always fit: a
+fixed count, whatever their own sizes. So j items fill an empty container, and finer classes fill the room that coarser ones left.
+Items are placed by counting, all items of a class at once; sizes are never compared, and workers do not see each other.
 
-An item over the capacity is cut: full pieces are containers by themselves, the rest is an item like any other.
-Each worker leaves at most one unfinished container a class, so the waste of splitting does not grow with the data.
+There are about twice the root of the capacity classes that whole sizes can have, all used.
+
+An item over the capacity is cut: full pieces are containers by themselves, the rest is an item like any other. What a worker
+wastes beyond its last few containers is room smaller than the least items left, so waste does not grow with the data; but each
+worker leaves containers unfinished, so many workers with few items each waste more.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from pyspark.sql import functions as F
 
 from netloom.llm.bpe import DEFAULT_VOCAB, count_column
 
-CLASSES = 8
 WINDOW = 1 << 18
+#: Containers a worker keeps open between windows, those with the most room.
+OPEN = 1 << 12
 
 
 class Packer:
@@ -31,98 +35,38 @@ class Packer:
     def __init__(self, capacity: int) -> None:
         self.capacity = capacity
         self.next = 0
-        #: by class: number of the open container, items in it and room left
-        self.open: dict[int, tuple[int, int, int]] = {}
-
-    def _new(self, count: int) -> np.ndarray:
-        self.next += count
-        return np.arange(self.next - count, self.next)
+        self.names = np.zeros(0, dtype=np.int64)
+        self.rooms = np.zeros(0, dtype=np.int64)
 
     def pack(self, sizes: np.ndarray) -> np.ndarray:
         """Container of each item; items of size 0 get -1. Sizes must not exceed the capacity."""
         box = np.full(len(sizes), -1, dtype=np.int64)
-        kind = np.zeros(len(sizes), dtype=np.int64)
-        some = sizes > 0
-        kind[some] = self.capacity // sizes[some]
-        boxes, rooms = [], []
-        for j in range(1, CLASSES):
-            items = np.flatnonzero(kind == j)
-            if not len(items):
-                continue
-            number, held, room = self.open.get(j, (-1, 0, 0))
-            place = np.arange(held, held + len(items))
-            count = int(place[-1]) // j + 1
-            names = self._new(count if not held else count - 1)
-            if held:
-                names = np.concatenate([[number], names])
-            box[items] = names[place // j]
-            left = np.full(count, self.capacity, dtype=np.int64)
-            if held:
-                left[0] = room
-            np.subtract.at(left, place // j, sizes[items])
-            rest = (int(place[-1]) + 1) % j
-            if rest:
-                self.open[j] = (int(names[-1]), rest, int(left[-1]))
-                names, left = names[:-1], left[:-1]
-            else:
-                self.open.pop(j, None)
-            boxes.append(names)
-            rooms.append(left)
-        small = np.flatnonzero(kind >= CLASSES)
-        if len(small):
-            self._top_up(sizes, box, small, boxes, rooms)
+        some = np.flatnonzero(sizes > 0)
+        kind = self.capacity // sizes[some]
+        order = np.argsort(kind, kind="stable")
+        some, kind = some[order], kind[order]
+        starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(kind) else np.zeros(0, np.int64)
+        for lo, hi in zip(starts, [*starts[1:], len(kind)]):
+            box[some[lo:hi]] = self._place(sizes[some[lo:hi]], int(kind[lo]))
+        # the room that is left, largest first
+        kept = np.argsort(-self.rooms, kind="stable")[:OPEN]
+        kept = kept[self.rooms[kept] > 0]
+        self.names, self.rooms = self.names[kept], self.rooms[kept]
         return box
 
-    def _top_up(self, sizes: np.ndarray, box: np.ndarray, small: np.ndarray, boxes: list, rooms: list) -> None:
-        # stacks of small items by size; the largest that fits goes first
-        by_size: dict[int, list[int]] = {}
-        for i in small[::-1]:
-            by_size.setdefault(int(sizes[i]), []).append(int(i))
-        fits = self.capacity // CLASSES
-        largest = np.zeros(fits + 1, dtype=np.int64)
-        present = sorted(by_size)
-
-        def refresh() -> None:
-            largest[:] = 0
-            for s in present:
-                largest[s] = s
-            np.maximum.accumulate(largest, out=largest)
-
-        refresh()
-
-        def fill(number: int, room: int) -> int:
-            while room > 0:
-                s = int(largest[min(room, fits)])
-                if not s:
-                    break
-                stack = by_size[s]
-                box[stack.pop()] = number
-                room -= s
-                if not stack:
-                    del by_size[s]
-                    present.remove(s)
-                    at = s
-                    below = int(largest[s - 1])
-                    while at <= fits and largest[at] == s:
-                        largest[at] = below
-                        at += 1
-            return room
-
-        if boxes:
-            names, left = np.concatenate(boxes), np.concatenate(rooms)
-            for i in np.argsort(left, kind="stable"):
-                if not by_size:
-                    break
-                fill(int(names[i]), int(left[i]))
-        number, _, room = self.open.pop(CLASSES, (-1, 0, 0))
-        while by_size:
-            if number < 0:
-                number, room = int(self._new(1)[0]), self.capacity
-            room = fill(number, room)
-            if by_size:
-                number = -1
-        if number >= 0 and room > 0:
-            self.open[CLASSES] = (number, 0, room)
+    def _place(self, sizes: np.ndarray, j: int) -> np.ndarray:
+        """Containers of the items of class ``j``: first the room of those there are, then new ones."""
+        counts = self.rooms // (self.capacity // j)
+        able = np.flatnonzero(counts)
+        # the least count first, so that wide room is kept for longer
+        able = able[np.argsort(counts[able], kind="stable")]
+        fresh = -(-max(0, len(sizes) - int(counts.sum())) // j)
+        self.names = np.concatenate([self.names, np.arange(self.next, self.next + fresh)])
+        self.rooms = np.concatenate([self.rooms, np.full(fresh, self.capacity)])
+        self.next += fresh
+        slots = np.concatenate([np.repeat(able, counts[able]), np.repeat(np.arange(len(counts), len(self.rooms)), j)])[: len(sizes)]
+        np.subtract.at(self.rooms, slots, sizes)
+        return self.names[slots]
 
 
 def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
