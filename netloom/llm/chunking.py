@@ -128,6 +128,8 @@ def cut(places: Places, doc: int, limit: int, overlap: int) -> list[tuple[int, i
         if place >= 0:
             end_token, end_byte, why = int(t[place]), int(byte[place]), int(kind[place])
             pieces.append((at_byte, end_byte, int(ends[place]) - at_token, why))
+            # what the shared text has by itself counts
+            end_token = min(end_token, int(ends[place]))
         else:
             end_token, end_byte = _inside(e, lo, t, byte, at_token + limit, at_token)
             if end_byte <= at_byte:
