@@ -15,8 +15,10 @@ Per Arrow batch:
    arrays of distinct pairs.
 5. *Repair.*  Only words with a bad pair are merged exactly, rank by rank.
 
-Memory is bounded: texts are handled in slices of ``SLICE_BYTES``, caches have a
-fixed size and change nothing but speed.
+Memory is bounded: texts are handled in slices of about ``SLICE_BYTES``; a longer text is
+cut before single spaces between visible ASCII characters, where a word always
+begins. Only a longer run without such a place stays whole. Caches have a fixed
+size and change nothing but speed.
 
 Null and empty texts have an empty list of ids.  Bytes that are not UTF-8 count
 as U+FFFD, as when the text is decoded with replacement.
@@ -27,7 +29,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -518,6 +520,39 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         yield lo, len(sizes)
 
 
+def parts_of(text: bytes, most: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A text in parts of about ``most`` bytes that are encoded alike alone and together."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    at = 0
+    while len(data) - at > most:
+        cut, seen = 0, at + most
+        while not cut and seen < len(data):
+            some = data[seen - 1 : seen + BLOCK_BYTES]
+            seen_by = (some > 0x20) & (some < 0x7F)
+            places = np.flatnonzero((some[1:-1] == 0x20) & seen_by[:-2] & seen_by[2:])
+            if len(places):
+                cut = seen + int(places[0])
+            seen += BLOCK_BYTES
+        if not cut:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def encoded_slices(encoder: Encoder, texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, Callable[[], np.ndarray]]]:
+    """Ranges of texts with the offsets of their tokens and a function for the tokens."""
+    for lo, hi in slices(texts, most):
+        part = texts.slice(lo, hi - lo)
+        if hi - lo == 1 and part.is_valid()[0].as_py() and len(raw := part.cast(pa.large_binary())[0].as_buffer().to_pybytes()) > most:
+            ids = [encoder.encode_slice(pa.array([x], pa.large_binary())).ids() for x in parts_of(raw, most)]
+            whole = np.concatenate(ids)
+            yield lo, hi, np.array([0, len(whole)]), lambda whole=whole: whole
+        else:
+            e = encoder.encode_slice(part)
+            yield lo, hi, e.text_tokens, e.ids
+
+
 _encoders: dict[int, Encoder] = {}
 
 
@@ -552,9 +587,8 @@ def encode_column(df: DataFrame, key: str, text: str | Column = "text", vocab_pa
         encoder = encoder_for(vocab.value)
         for batch in batches:
             texts = batch.column(1)
-            for lo, hi in slices(texts):
-                part = encoder.encode_slice(texts.slice(lo, hi - lo))
-                ids = pa.ListArray.from_arrays(pa.array(part.text_tokens.astype(np.int32)), pa.array(part.ids()))
+            for lo, hi, offsets, tokens in encoded_slices(encoder, texts):
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids], names=["key", "ids"])
 
     kind = source.schema["key"].dataType.simpleString()
@@ -570,9 +604,8 @@ def count_column(df: DataFrame, key: str, text: str | Column = "text", vocab_pat
         encoder = encoder_for(vocab.value)
         for batch in batches:
             texts = batch.column(1)
-            for lo, hi in slices(texts):
-                counts = encoder.encode_slice(texts.slice(lo, hi - lo)).counts()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts, pa.int64())], names=["key", "n_tokens"])
+            for lo, hi, offsets, _ in encoded_slices(encoder, texts):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets), pa.int64())], names=["key", "n_tokens"])
 
     kind = source.schema["key"].dataType.simpleString()
     return source.mapInArrow(run, f"key {kind}, n_tokens bigint").select(F.col("key").alias(key), "n_tokens")
