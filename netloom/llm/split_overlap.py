@@ -5,8 +5,8 @@ insertions and deletions between their strings. So "similarity >= 0.8" is "at mo
 edit-distance join answers it exactly:
 
 1. An evaluation string of length ``a`` may meet at most ``floor(a / 4)`` edits. It is cut into one segment more, so one
-   segment is untouched in every near training string. Its first three elements (two in the one case of a segment of two,
-   ``a = 8``) are the key.
+   segment is untouched in every near training string. Segments have three or four elements; the first three (two in the one
+   case of a segment of two, ``a = 8``) are the key, so that a training string needs its substrings of one length only.
 2. A training string offers its substrings of that length; they match where the position moved by at most ``k``.
 3. Matches are verified by dynamic programming over a band of ``k`` around the diagonal, many pairs at once.
 
@@ -27,7 +27,6 @@ from netloom.llm.pointsets import MIN_POINTS, budget, point_hashes
 from netloom.session import stored
 
 MIN_TERMS = 20
-LONGEST_DP = 4096
 CELLS = 1 << 20
 
 
@@ -35,16 +34,12 @@ def edits_within(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarra
     """Whether strings i of both sides are at most ``k[i]`` insertions and deletions apart.
 
     ``a`` and ``b`` are concatenated strings with offsets. The table is kept for a band of ``k`` around the diagonal, row by
-    row for all pairs of similar size. Strings over ``LONGEST_DP`` are compared as sets, which is the same for strings
-    without repeats.
+    row for all pairs of similar size, of at most ``CELLS`` cells or of a single pair. A pair is given up as soon as its whole row exceeds
+    ``k``, so only strings that are near cost their length times the band.
     """
     na, nb = np.diff(a_at), np.diff(b_at)
     good = np.zeros(len(k), dtype=bool)
-    able = np.abs(na - nb) <= k
-    for i in np.flatnonzero(able & (np.maximum(na, nb) > LONGEST_DP)):
-        same = len(np.intersect1d(a[a_at[i] : a_at[i + 1]], b[b_at[i] : b_at[i + 1]], assume_unique=True))
-        good[i] = na[i] + nb[i] - 2 * same <= k[i]
-    todo = np.flatnonzero(able & (np.maximum(na, nb) <= LONGEST_DP))
+    todo = np.flatnonzero(np.abs(na - nb) <= k)
     todo = todo[np.lexsort((k[todo], na[todo]))]
     lo = 0
     while lo < len(todo):
@@ -59,28 +54,32 @@ def edits_within(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarra
 
 
 def _band(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, na: np.ndarray, nb: np.ndarray, k: np.ndarray, part: np.ndarray, w: int) -> np.ndarray:
-    far = np.int32(1 << 20)
+    far = np.int32(1 << 29)
     offset = np.arange(-w, w + 1, dtype=np.int32)
-    rows, ends = na[part], nb[part]
+    good = np.zeros(len(part), dtype=bool)
+    # pairs still in the table
+    live = np.arange(len(part))
     # row 0: j insertions
-    now = np.where((offset >= 0) & (offset <= ends[:, None]), offset, far).astype(np.int32)
-    found = np.full(len(part), far, dtype=np.int32)
-    end_at = (ends - rows + w).astype(np.int64)
-    for i in range(1, int(rows.max()) + 1):
-        live = rows >= i
+    now = np.where((offset >= 0) & (offset <= nb[part][:, None]), offset, far).astype(np.int32)
+    i = 0
+    while len(live):
+        at = part[live]
+        rows, ends, most = na[at], nb[at], k[at]
+        i += 1
         j = i + offset
         inside = (j >= 1) & (j <= ends[:, None])
-        left = b[np.where(inside, b_at[part][:, None] + j - 1, 0)]
-        right = a[np.where(live, a_at[part] + i - 1, 0)]
-        step = np.where(inside & (left == right[:, None]), now, far)
+        left = b[np.where(inside, b_at[at][:, None] + j - 1, 0)]
+        step = np.where(inside & (left == a[a_at[at] + i - 1][:, None]), now, far)
         step[:, :-1] = np.minimum(step[:, :-1], now[:, 1:] + 1)
         if i <= w:
             step[:, w - i] = np.minimum(step[:, w - i], i)
         step[(j < 0) | (j > ends[:, None])] = far
         now = np.minimum.accumulate(step - offset, axis=1) + offset
         last = np.flatnonzero(rows == i)
-        found[last] = now[last, end_at[last]]
-    return found <= k[part]
+        good[live[last]] = now[last, (ends - rows + w)[last].astype(np.int64)] <= most[last]
+        stay = (rows > i) & (now.min(axis=1) <= most)
+        live, now = live[stay], now[stay]
+    return good
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +176,17 @@ def overlaps(
     return near.select("held_out_id", "train_id").unionByName(same.select("held_out_id", "train_id")).distinct()
 
 
-def report(df: DataFrame, key: str = "sample_id", split: str = "split", design: str = "source_design", **names: str) -> DataFrame:
+def report(
+    df: DataFrame, key: str = "sample_id", split: str = "split", design: str = "source_design", held_out: tuple[str, ...] = ("validation", "test"), **names: str | tuple[str, ...]
+) -> DataFrame:
     """Per split and design of the held-out rows: rows, rows that reappear in training, and pairs.
 
-    A null design is a group of its own.
+    A null design is a group of its own. ``names`` go to :func:`overlaps`.
     """
-    found = overlaps(df, key, split, **names).groupBy("held_out_id").agg(F.count(F.lit(1)).alias("pairs"))
+    found = overlaps(df, key, split, held_out=held_out, **names).groupBy("held_out_id").agg(F.count(F.lit(1)).alias("pairs"))
     rows = df.select(F.col(key).cast("long").alias("held_out_id"), F.col(split).alias("split"), F.col(design).alias("source_design"))
     return (
-        rows.filter(F.col("split").isin("validation", "test"))
+        rows.filter(F.col("split").isin(*held_out))
         .join(found, "held_out_id", "left")
         .groupBy("split", "source_design")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.count("pairs").alias("n_overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"))
