@@ -79,6 +79,25 @@ def test_overlap_report(spark):
     assert out == {k: tuple(v) for k, v in want.items()}
 
 
+def test_report_of_other_split_names(spark):
+    rows = [(r[0], {"train": "fit", "validation": "dev", "test": "dev"}.get(r[1], r[1]), *r[2:]) for r in overlap_rows(4)]
+    df = spark.createDataFrame(rows, OVERLAP)
+    out = split_overlap.report(df, train=("fit",), held_out=("dev",)).collect()
+    back = overlap_expected([(r[0], {"fit": "train", "dev": "test"}.get(r[1], r[1]), *r[2:]) for r in rows])
+    assert sum(r.n_pairs for r in out) == len(back) > 0 and {r.split for r in out} == {"dev"}
+
+
+def test_band_of_long_strings():
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 10**9, 5000))
+    near, far = base[rng.random(len(base)) > 0.1], np.unique(rng.integers(0, 10**9, 4900))
+    a, b = np.concatenate([base, base]), np.concatenate([near, far])
+    at = [0, len(base), 2 * len(base)], [0, len(near), len(near) + len(far)]
+    k = np.array([len(base) - len(near), (len(base) + len(far)) // 9])
+    assert split_overlap.edits_within(a, np.array(at[0]), b, np.array(at[1]), k).tolist() == [True, False]
+    assert split_overlap.edits_within(a, np.array(at[0]), b, np.array(at[1]), k - 1).tolist() == [False, False]
+
+
 def test_overlaps_of_nothing(spark):
     assert split_overlap.overlaps(spark.createDataFrame([], OVERLAP)).count() == 0
 
@@ -147,6 +166,17 @@ def test_assignment_keeps_groups_and_ratios(spark):
     assert {(r.net_id, r.split) for r in splits.assign(df, [("train", 0.8), ("validation", 0.1), ("test", 0.1)]).collect()} == set(of.items())
 
 
+def test_given_ranges_keep_components_in_their_split(spark):
+    rows = net_rows(3, 120)
+    plan = [("train", 0.5), ("test", 0.5)]
+    df = spark.createDataFrame(rows, NETS)
+    ranges = splits.ranges_for(splits.sized(df)[1], plan)
+    before = {r.component: r.split for r in splits.assign(df, plan, ranges=ranges).collect() if r.component}
+    more = rows + [(1000 + i, f"s{i // 3}", f"u{i}", "", "", 0) for i in range(600)]
+    after = {r.component: r.split for r in splits.assign(spark.createDataFrame(more, NETS), plan, ranges=ranges).collect() if r.component}
+    assert before and {c: after[c] for c in before} == before and len(after) > len(before)
+
+
 def test_splits_of_nothing(spark):
     df = spark.createDataFrame([], NETS)
     assert splits.tied_pairs(df).count() == 0 and splits.assign(df, [("train", 1.0)]).count() == 0
@@ -160,7 +190,7 @@ def test_percentiles_within_the_stated_error(spark):
     rng = random.Random(1)
     rows = []
     for i in range(4000):
-        v = rng.choice([None, -1.5, 0.0, 1e-300, float("nan"), float("inf"), 2.0**52 - 1, 1e308] + [rng.lognormvariate(3, 3)] * 20)
+        v = rng.choice([None, -1.5, 0.0, 1e-300, float("nan"), float("inf"), -float("inf"), 2.0**52 - 1, 1e308] + [rng.lognormvariate(3, 3), -rng.lognormvariate(3, 3)] * 20)
         rows.append((rng.choice(["a", "b", None]), rng.choice(["x", None]), rng.choice(["d1", "d2", None]), v, rng.choice([None, -3, 0, *range(600)])))
     rows.append(("tiny", "x", "d1", 5.0, 7))
     rows.append(("none", "x", "d1", None, -1))
@@ -169,9 +199,9 @@ def test_percentiles_within_the_stated_error(spark):
     out = percentiles.percentiles(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["g", "h"]).collect()
     kept = defaultdict(list)
     for g_, h, _, v, w in rows:
-        if v is not None and v >= 0:
+        if v is not None and v == v:
             kept[g_, h, "v"].append(v)
-        if w is not None and w >= 0:
+        if w is not None:
             kept[g_, h, "w"].append(w)
     assert {(r.g, r.h, r.metric) for r in out} == set(kept)
     for r in out:
@@ -180,10 +210,10 @@ def test_percentiles_within_the_stated_error(spark):
         for p in (50, 90, 95, 99):
             true = values[-(-len(values) * p // 100) - 1]
             got = r[f"p{p}"]
-            if true == float("inf") or r.metric == "w" and true < 512:
+            if abs(true) == float("inf") or r.metric == "w" and abs(true) < 512:
                 assert got == true
             else:
-                assert got <= true <= got * (1 + 2**-8) or true < 2.3e-308
+                assert true * got >= 0 and abs(got) <= abs(true) <= abs(got) * (1 + 2**-8) or abs(true) < 2.3e-308
 
 
 def test_codes_are_the_leading_bits(spark):
