@@ -18,6 +18,11 @@ from netloom.functions.tokens import TREE
 from netloom.operators.arrow import map_batches
 from netloom.operators.forest import Forest, flat, parse_points
 
+#: Cells of edges by points that are compared at once.
+CELLS = 1 << 20
+#: Which of two ends each corner of a box takes on each axis.
+CORNERS = np.indices((2, 2, 2)).reshape(3, 8).T
+
 Point = tuple[int, int, int]
 Edge = tuple[Point, Point]
 
@@ -30,21 +35,33 @@ def cut_edges(edges: list[Edge], points: list[Point]) -> list[Edge]:
     """Edges cut at every one of the points that lies inside them, in order from their start."""
     if not edges or not points:
         return edges
-    s, e = (np.array([x[i] for x in edges], dtype=np.int64)[:, None, :] for i in (0, 1))
-    p = np.array(points, dtype=np.int64)[None, :, :]
+    ends = np.array(edges, dtype=np.int64)
+    p = np.array(points, dtype=np.int64)
+    step = max(1, CELLS // len(points))
+    out: list[Edge] = []
+    for lo in range(0, len(edges), step):
+        part = edges[lo : lo + step]
+        stops: dict[int, set[Point]] = {}
+        for i, j in zip(*(x.tolist() for x in np.nonzero(_inside(ends[lo : lo + step, None, 0], ends[lo : lo + step, None, 1], p[None])))):
+            stops.setdefault(i, set()).add(points[j])
+        for i, (a, b) in enumerate(part):
+            if i not in stops:
+                out.append((a, b))
+                continue
+            way = [a, *sorted(stops[i], key=lambda q, a=a: (distance(a, q), q)), b]
+            out += [(x, y) for x, y in zip(way, way[1:]) if x != y]
+    return out
+
+
+def _inside(s: np.ndarray, e: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Whether points lie inside edges, by edge and point."""
     low, high = np.minimum(s, e), np.maximum(s, e)
     at = ((p >= low) & (p <= high)).all(axis=2)
     # along the plane axes the ends of the long side are excluded; within a layer a box counts as a whole
     flat_ = (s == e) & (e == p)
     strict = (p > low) & (p < high)
     on = np.where(flat_[..., 0], strict[..., 1], np.where(flat_[..., 1], strict[..., 0], flat_[..., 2]))
-    inside = at & on & (p != s).any(axis=2) & (p != e).any(axis=2)
-    out: list[Edge] = []
-    for i, (a, b) in enumerate(edges):
-        stops = sorted({points[j] for j in np.flatnonzero(inside[i])}, key=lambda q: (distance(a, q), q))
-        way = [a, *stops, b]
-        out += [(x, y) for x, y in zip(way, way[1:]) if x != y or not stops]
-    return out
+    return at & on & (p != s).any(axis=2) & (p != e).any(axis=2)
 
 
 def crossings(edges: list[Edge]) -> list[Point]:
@@ -56,12 +73,28 @@ def crossings(edges: list[Edge]) -> list[Point]:
     axis = np.select([same[:, 0] & same[:, 2], same[:, 1] & same[:, 2], same[:, 0] & same[:, 1]], [1, 0, 2], default=-1)
     low, high = np.minimum(s, e), np.maximum(s, e)
     found: set[Point] = set()
-    for one, two in ((0, 1), (0, 2), (1, 2)):
+    for one, two, level in ((0, 1, 2), (0, 2, 1), (1, 2, 0)):
         a, b = np.flatnonzero(axis == one), np.flatnonzero(axis == two)
-        if len(a) and len(b):
-            lo = np.maximum(low[a][:, None], low[b][None])
-            hi = np.minimum(high[a][:, None], high[b][None])
-            found |= set(map(tuple, lo[(lo <= hi).all(axis=2)].tolist()))
+        if not len(a) or not len(b):
+            continue
+        # both lie on one level of the third axis; edges along ``one`` are sorted by it and by their place on ``two``, so those an
+        # edge along ``two`` can meet are a range
+        places, levels = np.unique(low[a, two]), np.unique(low[a, level])
+        width = len(places) + 1
+        key = np.searchsorted(levels, low[a, level]) * width + np.searchsorted(places, low[a, two])
+        order = np.argsort(key, kind="stable")
+        a, key = a[order], key[order]
+        at = np.searchsorted(levels, low[b, level])
+        known = levels[np.minimum(at, len(levels) - 1)] == low[b, level]
+        b, at = b[known], at[known] * width
+        first = np.searchsorted(key, at + np.searchsorted(places, low[b, two], side="left"), side="left")
+        last = np.searchsorted(key, at + np.searchsorted(places, high[b, two], side="right") - 1, side="right")
+        count = np.maximum(last - first, 0)
+        of = np.repeat(np.arange(len(b)), count)
+        x = a[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        y = b[of]
+        met = (low[x, one] <= low[y, one]) & (low[y, one] <= high[x, one])
+        found |= set(map(tuple, np.maximum(low[x[met]], low[y[met]]).tolist()))
     return sorted(found)
 
 
@@ -70,19 +103,16 @@ def split_all(edges: list[Edge]) -> list[Edge]:
 
 
 def lattice(a: Point, b: Point, barred: set[int]) -> list[Edge]:
-    """All edges along the box between two points; in the plane not on barred layers."""
-    if sum(x != y for x, y in zip(a, b)) <= 1:
-        return [(a, b)]
-    xs, ys, ms = (sorted({a[i], b[i]}, key=lambda v, i=i: v != a[i]) for i in range(3))
-    free = [m for m in ms if m not in barred]
-    out: list[Edge] = []
-    if a[0] != b[0]:
-        out += [((a[0], y, m), (b[0], y, m)) for y in ys for m in free]
-    if a[1] != b[1]:
-        out += [((x, a[1], m), (x, b[1], m)) for x in xs for m in free]
-    if a[2] != b[2]:
-        out += [((x, y, a[2]), (x, y, b[2])) for x in xs for y in ys]
-    return out
+    """The sides of the box between two points: its corners that differ on one axis. In the plane not on barred layers; a line is one edge anyway."""
+    corners = np.unique(np.array([a, b])[CORNERS, np.arange(3)], axis=0)
+    one, two = np.triu_indices(len(corners), 1)
+    differs = corners[one] != corners[two]
+    side = differs.sum(axis=1) == 1
+    if len(corners) > 2:
+        side &= differs[:, 2] | ~np.isin(corners[one, 2], list(barred))
+    elif len(corners) < 2:
+        return [(a, a)]
+    return list(zip(map(tuple, corners[one[side]].tolist()), map(tuple, corners[two[side]].tolist())))
 
 
 def connections(edges: list[Edge], loads: list[Point], driver: Point) -> list[Edge]:
@@ -243,4 +273,4 @@ def repair_trees(df: DataFrame, key: str, tree: str, loads: str, keep: tuple[str
         return [pa.array(out, pa.list_(pa.string()))] + [pa.array(c, pa.float64()) for c in columns]
 
     names = ["post_remove_wirelength_cost", "post_remove_via_cost", "post_add_wirelength_cost", "post_add_via_cost"]
-    return map_batches(df, [tree, loads], "post_tree_seq array<string>, " + ", ".join(f"{n} double" for n in names), run, [key, *keep], rows=500)
+    return map_batches(df, [tree, loads], "post_tree_seq array<string>, " + ", ".join(f"{n} double" for n in names), run, [key, *keep], rows=500, spread=True)

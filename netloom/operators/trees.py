@@ -5,6 +5,8 @@ All run as Arrow maps over :class:`~netloom.operators.forest.Forest`: row-local,
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +19,7 @@ from netloom.operators.forest import BRANCH, COORD, END, NONE, Forest, common_by
 
 EMPTY = ["(0, 0, 0)"]
 DB_UNIT = 2000.0
+CELLS = 1 << 20
 
 
 # -- parsing and rewriting -----------------------------------------------------
@@ -216,7 +219,13 @@ def _sinks(f: Forest, loads: np.ndarray, load_row: np.ndarray) -> np.ndarray:
 
 
 def match_nodes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy one-to-one matching of two sets of points: the closest pair first, ties by the order of ``a``, then ``b``."""
+    """Greedy one-to-one matching of two sets of points: the closest pair first, ties by the order of ``a``, then ``b``.
+
+    Up to ``CELLS`` distances are sorted at once. Beyond, each point of ``a`` keeps its nearest free point of ``b``, and looks for another
+    when that is taken; memory then grows with the points, not their pairs.
+    """
+    if len(a) * len(b) > CELLS:
+        return _match_by_nearest(a, b)
     near = np.abs(a[:, None, :] - b[None, :, :]).sum(axis=2).reshape(-1)
     free_a, free_b = np.ones(len(a), dtype=bool), np.ones(len(b), dtype=bool)
     left, right = [], []
@@ -232,27 +241,71 @@ def match_nodes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
-def edit_costs(a: Forest, b: Forest) -> dict[str, np.ndarray]:
-    """Costs by row of turning tree ``a`` into ``b``: distances of matched points, and edge lengths of those left over."""
-    cost = {k: np.zeros(a.rows) for k in ("red_substitution_cost", "red_deletion_cost", "red_insertion_cost")}
-    matches = np.zeros(a.rows, dtype=np.int64)
-    ha, hb = a.heads(), b.heads()
-    la, lb = a.steps().sum(axis=1), b.steps().sum(axis=1)
-    for r in range(a.rows):
-        pa_, pb_ = a.xyz[ha[r] : ha[r + 1]], b.xyz[hb[r] : hb[r + 1]]
-        if len(pa_) == len(pb_) and (pa_ == pb_).all():
-            # equal lists match in place at no cost
-            matches[r] = len(pa_)
+def _match_by_nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    free = np.arange(len(b))
+    taken = np.zeros(len(b), dtype=bool)
+
+    def nearest(i: int) -> tuple[int, int, int]:
+        away = np.abs(b[free] - a[i]).sum(axis=1)
+        away[taken[free]] = np.iinfo(np.int64).max
+        j = int(away.argmin())
+        return int(away[j]), i, int(free[j])
+
+    heap = [nearest(i) for i in range(len(a))]
+    heapq.heapify(heap)
+    left, right = [], []
+    while heap and len(right) < len(b):
+        _, i, j = heapq.heappop(heap)
+        if taken[j]:
+            if len(free) > 2 * (len(b) - len(right)):
+                free = free[~taken[free]]
+            heapq.heappush(heap, nearest(i))
             continue
-        i, j = match_nodes(pa_, pb_) if len(pa_) and len(pb_) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        matches[r] = len(i)
-        cost["red_substitution_cost"][r] = np.abs(pa_[i] - pb_[j]).sum()
-        rest_a, rest_b = np.ones(len(pa_), dtype=bool), np.ones(len(pb_), dtype=bool)
-        rest_a[i], rest_b[j] = False, False
-        cost["red_deletion_cost"][r] = la[ha[r] : ha[r + 1]][rest_a].sum()
-        cost["red_insertion_cost"][r] = lb[hb[r] : hb[r + 1]][rest_b].sum()
-    cost["red_total_cost"] = cost["red_substitution_cost"] + cost["red_deletion_cost"] + cost["red_insertion_cost"]
-    return cost | {"red_num_pred_nodes": a.by_row(np.arange(a.n)), "red_num_gt_nodes": b.by_row(np.arange(b.n)), "red_num_matches": matches}
+        taken[j] = True
+        left.append(i)
+        right.append(j)
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+
+
+def _equal_nodes(a: Forest, b: Forest) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of both whose points are equal, paired within rows: the first of a point with the first, the second with the second."""
+    sides = []
+    for f in (a, b):
+        name = mix(f.row, f.names())
+        order = np.argsort(name, kind="stable")
+        fresh = np.concatenate([[True], name[order][1:] != name[order][:-1]]) if f.n else np.zeros(0, bool)
+        index = np.arange(f.n)
+        nth = index - np.maximum.accumulate(np.where(fresh, index, 0)) if f.n else index
+        sides.append((order, mix(name[order].view(np.int64), nth)))
+    (oa, ka), (ob, kb) = sides
+    _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    return oa[i], ob[j]
+
+
+def edit_costs(a: Forest, b: Forest) -> dict[str, np.ndarray]:
+    """Costs by row of turning tree ``a`` into ``b``: distances of matched points, and edge lengths of those left over.
+
+    The closest pairs match first, so equal points match, in their order; only what both sides have left is compared by distance.
+    """
+    i, j = _equal_nodes(a, b)
+    rest_a, rest_b = np.ones(a.n, dtype=bool), np.ones(b.n, dtype=bool)
+    rest_a[i], rest_b[j] = False, False
+    matches = a.by_row(i)
+    moved = np.zeros(a.rows)
+    left, right = np.flatnonzero(rest_a), np.flatnonzero(rest_b)
+    at, bt = (np.searchsorted(f.row[x], np.arange(a.rows + 1)) for f, x in ((a, left), (b, right)))
+    for r in np.flatnonzero((np.diff(at) > 0) & (np.diff(bt) > 0)).tolist():
+        x, y = left[at[r] : at[r + 1]], right[bt[r] : bt[r + 1]]
+        p, q = match_nodes(a.xyz[x], b.xyz[y])
+        rest_a[x[p]], rest_b[y[q]] = False, False
+        matches[r] += len(p)
+        moved[r] = np.abs(a.xyz[x[p]] - b.xyz[y[q]]).sum()
+    lost = a.by_row(np.flatnonzero(rest_a), a.steps().sum(axis=1)[rest_a]).astype(np.float64)
+    grown = b.by_row(np.flatnonzero(rest_b), b.steps().sum(axis=1)[rest_b]).astype(np.float64)
+    return {
+        "red_substitution_cost": moved, "red_deletion_cost": lost, "red_insertion_cost": grown, "red_total_cost": moved + lost + grown,
+        "red_num_pred_nodes": a.by_row(np.arange(a.n)), "red_num_gt_nodes": b.by_row(np.arange(b.n)), "red_num_matches": matches,
+    }
 
 
 METRICS = (
@@ -347,12 +400,12 @@ def routing_metrics_batch(loads: pa.Array, pred: pa.Array, true: pa.Array) -> di
     return m
 
 
-def routing_metrics(df: DataFrame, key: str, loads: str, pred: str, true: str, prefix: str = "") -> DataFrame:
-    """``key`` and 41 metrics of a predicted tree against the true one, both relative to the driver, as are the loads."""
+def routing_metrics(df: DataFrame, key: str, loads: str, pred: str, true: str, prefix: str = "", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """``key``, ``keep`` and 41 metrics of a predicted tree against the true one, both relative to the driver, as are the loads."""
 
     def run(*columns: pa.Array) -> list:
         m = routing_metrics_batch(*columns)
         return [pa.array(m[n]) for n in NAMES]
 
     fields = ", ".join(prefix + f for f in METRICS.split(", "))
-    return map_batches(df, [loads, pred, true], fields, run, [key], rows=1000)
+    return map_batches(df, [loads, pred, true], fields, run, [key, *keep], rows=1000)

@@ -14,7 +14,7 @@ from netloom.operators.repair import repair_trees
 from netloom.plans.coords import IS_POINT, relative
 from netloom.plans.registry import query
 from netloom.plans.texts import TARGETS, TREE
-from netloom.session import stored, table
+from netloom.session import table
 
 NET_TREE = "WITH RECURSIVE " + TREE.format(key="net_id", tree="tree_seq", table="net_seqs")
 
@@ -107,9 +107,10 @@ def m2_routing_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def m4_repaired(spark: SparkSession, d: str) -> DataFrame:
     """Repaired trees and their costs, with the metrics after repair."""
-    fixed = stored(repair_trees(routed(spark, d), "sample_id", "pred", "relative_loads", ["relative_loads", "true"]), "repaired")
-    after = trees.routing_metrics(fixed, "sample_id", "relative_loads", "post_tree_seq", "true", "post_")
-    return fixed.drop("relative_loads", "true").withColumn("post_tree_seq", F.array_join("post_tree_seq", " ")).join(after, "sample_id")
+    fixed = repair_trees(routed(spark, d), "sample_id", "pred", "relative_loads", ["relative_loads", "true"])
+    costs = [f"post_{x}_{y}_cost" for x in ("remove", "add") for y in ("wirelength", "via")]
+    after = trees.routing_metrics(fixed, "sample_id", "relative_loads", "post_tree_seq", "true", "post_", ["post_tree_seq", *costs])
+    return after.withColumn("post_tree_seq", F.array_join("post_tree_seq", " "))
 
 
 def _side(letter: str, tree: str) -> str:

@@ -146,6 +146,33 @@ def test_net_sequences():
     assert [netseq.net_sequence(n, 4).get("skip_reason") for n in (cycle, apart, headless, {"vertices": None, "edges": []})] == ["cycle", "not connected", "no driver", "no routing"]
 
 
+def test_prefix_trees_of_many_nets():
+    from netloom.operators.forest import Forest
+
+    rng = random.Random(3)
+    row, paths = [], []
+    for r in range(40):
+        for _ in range(rng.randrange(0, 6)):
+            row.append(r)
+            paths.append([(0, 0, 0)] + [(d + 1, rng.randrange(2), 0) for d in range(rng.randrange(0, 6))])
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in paths])])
+    f = netseq.merged(np.array(row), offsets, np.array([q for p in paths for q in p]), 40)
+    for r in range(40):
+        mine, seen = [p for p, x in zip(paths, row) if x == r], {}
+        for p in mine:
+            for d in range(1, len(p) + 1):
+                seen.setdefault(tuple(p[:d]), len(seen))
+        got = {}
+        for i in np.flatnonzero(f.row == r):
+            up = tuple(got[f.parent[i]]) if f.parent[i] >= 0 else ()
+            got[i] = (*up, tuple(f.xyz[i].tolist()))
+        assert sorted(got.values()) == sorted(seen)
+        # pre-order, children in order of first use
+        first = lambda q: [min(k for k, p in enumerate(mine) if tuple(p[:d]) == q[:d]) for d in range(1, len(q) + 1)]
+        assert list(got.values()) == sorted(seen, key=first)
+    assert Forest.parse(f.serialise()).parent.tolist() == f.parent.tolist()
+
+
 def test_patterns():
     path = [(i, i % 2, 0) for i in range(20)]
     parts = netseq.halves(path, 4)

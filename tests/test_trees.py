@@ -1,5 +1,6 @@
 """The batch kernel against trees built node by node."""
 
+import numpy as np
 import math
 import random
 import re
@@ -289,6 +290,48 @@ def test_repair_connects_all_loads(spark):
     assert out[1001].post_tree_seq == [] and out[1002].post_tree_seq == ["(0, 0, 0)"]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_crossings_equal_all_pairs(seed):
+    from netloom.operators.repair import crossings
+
+    rng = random.Random(seed)
+    edges_ = []
+    for _ in range(60):
+        a = [rng.randrange(8) for _ in range(3)]
+        b = list(a)
+        b[rng.randrange(3)] = rng.randrange(8)
+        edges_.append((tuple(a), tuple(b)))
+    axes = lambda e: [i for i in range(3) if e[0][i] != e[1][i]]
+    want = set()
+    for e in edges_:
+        for f in edges_:
+            if len(axes(e)) == len(axes(f)) == 1 and axes(e) != axes(f):
+                lo = [max(min(e[0][i], e[1][i]), min(f[0][i], f[1][i])) for i in range(3)]
+                hi = [min(max(e[0][i], e[1][i]), max(f[0][i], f[1][i])) for i in range(3)]
+                if all(x <= y for x, y in zip(lo, hi)):
+                    want.add(tuple(lo))
+    assert set(crossings([e for e in edges_ if axes(e)])) == want
+
+
+def test_sides_of_a_box():
+    from netloom.operators.repair import lattice
+
+    pairs = lambda x: {frozenset(e) for e in x}
+    assert pairs(lattice((0, 0, 2), (0, 0, 2), set())) == {frozenset([(0, 0, 2)])} and pairs(lattice((0, 0, 2), (5, 0, 2), {2})) == {frozenset([(0, 0, 2), (5, 0, 2)])}
+    assert len(lattice((0, 0, 2), (5, 5, 2), set())) == 4 and lattice((0, 0, 2), (5, 5, 2), {2}) == []
+    assert len(lattice((0, 0, 2), (5, 5, 4), set())) == 12 and len(lattice((0, 0, 2), (5, 5, 4), {4})) == 8 and len(lattice((0, 0, 2), (5, 0, 4), {4})) == 3
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matching_without_all_distances_is_the_same(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 6, (40, 3)), rng.integers(0, 6, (33, 3))
+    want = trees.match_nodes(a, b)
+    monkeypatch.setattr(trees, "CELLS", 10)
+    got = trees.match_nodes(a, b)
+    assert want[0].tolist() == got[0].tolist() and want[1].tolist() == got[1].tolist()
+
+
 def test_repair_keeps_what_is_right_and_drops_what_is_loose():
     edges_ = [((0, 0, 0), (0, 0, 2)), ((0, 0, 2), (100, 0, 2)), ((100, 0, 2), (100, 0, 0)), ((100, 0, 2), (100, 70, 2))]
     tokens, cost = repair((0, 0, 0), edges_, [(100, 0, 0)])
