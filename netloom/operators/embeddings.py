@@ -69,11 +69,15 @@ def nearest_to_centroid(df: DataFrame, key: str, label: str, vector: str, k: int
     return centroid_distances(df, key, label, vector).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+ROUNDS = 64
+
+
 def densest_cluster(df: DataFrame, key: str, columns: Sequence[str], eps: float = 1.5, least: int = 5) -> DataFrame:
     """Keys of the largest DBSCAN cluster; without one, of the points within one deviation of the mean on every column.
 
     Points lie in cells whose diagonal is ``eps``, so all of a cell are neighbours. Points meet only those of cells close by;
-    core cells that touch are joined by passing on the least cell until nothing changes.
+    a cell of ``least`` points or more is core as a whole and is not counted out. Core cells that touch are joined by passing on the least
+    label and then the label's own label, so rounds grow with the logarithm of a chain of cells; ``ROUNDS`` bounds them.
     """
     d = len(columns)
     side = eps / d**0.5
@@ -87,18 +91,24 @@ def densest_cluster(df: DataFrame, key: str, columns: Sequence[str], eps: float
     near = pts.withColumn("s", around).select("k", "p", F.col("cell").alias("own"), F.zip_with("cell", "s", lambda a, b: a + b).alias("cell"))
     other = pts.select(F.col("k").alias("k2"), F.col("p").alias("p2"), "cell")
     away = F.aggregate(F.zip_with("p", "p2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    pairs = stored(near.join(other, "cell").filter(away <= eps * eps).select("k", "own", "k2", F.col("cell").alias("cell2")), "pairs")
-    core = pairs.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("k")
+    pairs = near.join(other, "cell").filter(away <= eps * eps).select("k", "own", "k2", F.col("cell").alias("cell2"))
+    full = stored(pts.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(F.col("cell").alias("own")), "full-cells")
+    thin = pairs.join(full, "own", "left_anti").groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("k")
+    core = stored(thin.unionByName(pts.join(full.withColumnRenamed("own", "cell"), "cell", "left_semi").select("k")), "core")
     links = pairs.join(core, "k").join(core.withColumnRenamed("k", "k2"), "k2").select("own", "cell2").distinct()
     links = stored(links, "cells")
     label = links.select(F.col("own").alias("cell"), F.col("own").alias("label")).distinct()
     before = -1
-    while True:
-        label = stored(links.join(label, links["cell2"] == label["cell"]).groupBy("own").agg(F.min("label").alias("label")).withColumnRenamed("own", "cell"), "labels")
+    for _ in range(ROUNDS):
+        least_label = links.join(label, links["cell2"] == label["cell"]).groupBy("own").agg(F.min("label").alias("mid")).withColumnRenamed("own", "cell")
+        ahead = label.select(F.col("cell").alias("mid"), F.col("label").alias("further"))
+        label = stored(least_label.join(ahead, "mid").select("cell", F.least("mid", "further").alias("label")), "labels")
         now = label.agg(F.sum(F.xxhash64("label").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"cells did not join in {ROUNDS} rounds")
     mine = core.join(pairs, "k").join(label.withColumnRenamed("cell", "own"), "own").select(F.col("k2").alias("k"), "label").distinct()
     best = mine.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(1)
     found = mine.join(best, "label").select("k")

@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.session import stored
 
 
-def ordered(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = ()) -> DataFrame:
-    """Adds ``rank``, from 1 in the given order, and ``cum_<name>`` for each column of ``sums``.
+def ordered(df: DataFrame, order: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
+    """Adds ``rank``, from 1 in the order of the given columns, descending where a name begins with ``-``, and ``cum_<name>`` for each column of ``sums``.
 
     Rows are range-partitioned and sorted; each partition counts and sums its own rows, and only one row a partition, its
     totals, passes the driver. The order must be total for the ranks to be determined; nulls count as 0 in sums.
     """
     names = [c for c in df.columns]
-    keyed = df.select(*names, *[o.alias(f"_o{i}") for i, o in enumerate(_plain(order))])
-    by = [_again(o, F.col(f"_o{i}")) for i, o in enumerate(order)]
+    by = [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
     kept = stored(
-        keyed.repartitionByRange(*by).sortWithinPartitions(*by)
+        df.repartitionByRange(*by).sortWithinPartitions(*by)
         .withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}),
         "ordered",
     )
@@ -37,17 +36,3 @@ def ordered(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = ()) ->
     out = out.withColumns({"rank": F.col("_n") + F.col("_i") + 1} | {f"cum_{s}": F.col(f"_t{i}") + F.coalesce(F.sum(s).over(upto), F.lit(0)) for i, s in enumerate(sums)})
     return out.select(*names, "rank", *[f"cum_{s}" for s in sums])
 
-
-def _plain(order: Sequence[Column]) -> list[Column]:
-    return [F.expr(_text(o)[0]) for o in order]
-
-
-def _again(o: Column, c: Column) -> Column:
-    return c.desc() if _text(o)[1] else c.asc()
-
-
-def _text(o: Column) -> tuple[str, bool]:
-    """Name of a plain column order, and whether it descends."""
-    text = str(o)[8:-2]
-    down = " DESC" in text
-    return text.split(" DESC")[0].split(" ASC")[0], down

@@ -108,7 +108,7 @@ def interpolated_quantile(df: DataFrame, by: Sequence[str], value: str, q: float
     if by:
         upto = counts.withColumn("cum__c", F.sum("_c").over(Window.partitionBy(*by).orderBy("_v")))
     else:
-        upto = ordered(counts, [F.col("_v")], ["_c"])
+        upto = ordered(counts, ["_v"], ["_c"])
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min("_v").alias("lo")).withColumn("_at", (F.col("_n") - 1) * q)
     named = totals.select(*[F.col(b).alias(f"_{b}") for b in by], "lo", "_at")
     on = F.lit(True)
@@ -139,7 +139,7 @@ def ecdf(df: DataFrame, value: str) -> DataFrame:
 
     counts = df.select(number(value).alias("value")).filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    return ordered(counts, [F.col("value")], ["n"]).select("value", (F.col("cum_n") / total).alias("share"))
+    return ordered(counts, ["value"], ["n"]).select("value", (F.col("cum_n") / total).alias("share"))
 
 
 def resampled(curves: DataFrame, curve: str, x: str, y: str, points: int = 100) -> DataFrame:

@@ -12,7 +12,7 @@ from netloom.operators.ranking import ordered
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Adds ``rank``: the position of each row in an order that depends on its key and the seed alone."""
-    return ordered(df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))), [F.col("_h"), F.col(key)]).drop("_h")
+    return ordered(df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))), ["_h", key]).drop("_h")
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -39,7 +39,7 @@ def repeat_order(n: int, batch: int, repeat: int, mini: int, spark) -> DataFrame
     return rows.select("position", F.expr(f"position div {each} * {batch} + position % {batch * mini} div {mini}").alias("index"))
 
 
-def chunks(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+def chunks(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """Adds ``chunk``: ``n`` equal runs of rows in an order; the rest that fills no run is left out."""
     placed = ordered(df, order)
     size = df.count() // n

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from netloom.functions.coords import parse, render
 
 CELLS_PER_BOX = 64
+BOXES_PER_CELL = 4
 
 
 def net_boxes(df: DataFrame, key: str, points: str, by: Sequence[str] = ()) -> DataFrame:
@@ -27,17 +28,24 @@ def overlap(a: str = "a", b: str = "b") -> Column:
     return F.when(side[2] > 0, side[0] * side[1] * side[2]).otherwise(side[0] * side[1]).cast("double")
 
 
-def range_join(boxes: DataFrame, key: str, by: str, cell: int, strict: bool = False, cells_per_box: int = CELLS_PER_BOX) -> DataFrame:
+def range_join(boxes: DataFrame, key: str, by: str, cell: int | None = None, strict: bool = False, cells_per_box: int = CELLS_PER_BOX) -> DataFrame:
     """``by``, ``a`` < ``b`` and ``overlap`` of all pairs of boxes of a ``by`` that meet.
 
     Boxes are laid on a plane grid and meet in a cell; a pair counts only in the cell that holds the lower corner of what it
     shares, so there is nothing to deduplicate. A box of more than ``cells_per_box`` cells is put on coarser grids, each
     four times as wide, until it fits; finer boxes also look at those grids. So a large box costs a few rows, not thousands.
-    Closed intervals: touching counts, unless ``strict``. A ``by`` of many boxes is spread over its cells.
+    Closed intervals: touching counts, unless ``strict``. A ``by`` of many boxes is spread over its cells. Without ``cell``, the side of a cell
+    is taken from each ``by``: such that ``BOXES_PER_CELL`` boxes would lie in one if they lay evenly.
     """
     box = F.struct(*[F.col(f"{n}{i}") for i in (1, 2) for n in "xym"])
     rows = boxes.filter(F.col(by).isNotNull()).select(F.col(by).alias("g"), F.col(key).alias("id"), box.alias("box"))
-    width = lambda level: f"({cell}L * shiftleft(1L, 2 * {level}))"
+    if cell is None:
+        extent = lambda n: f"(max(box.{n}2) - min(box.{n}1) + 1D)"
+        side = F.expr(f"cast(greatest(1D, ceil(sqrt({extent('x')} * {extent('y')} * {BOXES_PER_CELL} / count(1)))) as bigint)")
+        rows = rows.join(rows.groupBy("g").agg(side.alias("side")), "g")
+    else:
+        rows = rows.withColumn("side", F.lit(cell).cast("bigint"))
+    width = lambda level: f"(side * shiftleft(1L, 2 * {level}))"
     spans = lambda level: F.expr(
         f"(floor(box.x2 / {width(level)}) - floor(box.x1 / {width(level)}) + 1) * (floor(box.y2 / {width(level)}) - floor(box.y1 / {width(level)}) + 1)"
     )
@@ -55,7 +63,7 @@ def range_join(boxes: DataFrame, key: str, by: str, cell: int, strict: bool = Fa
     # each box also stands on the coarser grids in use
     above = F.filter(F.array(*[F.lit(u) for u in sorted(used)]), lambda u: u >= F.col("level"))
     every = on_grid(rows.withColumn("grid", F.explode(above)), "grid")
-    a = own.select("g", "grid", "cx", "cy", F.col("id").alias("a"), F.col("box").alias("ba"))
+    a = own.select("g", "grid", "cx", "cy", "side", F.col("id").alias("a"), F.col("box").alias("ba"))
     b = every.select("g", "grid", "cx", "cy", F.col("id").alias("b"), F.col("box").alias("bb"), F.col("level").alias("lb"))
     meet = " and ".join(f"least(ba.{n}2, bb.{n}2) {'>' if strict else '>='} greatest(ba.{n}1, bb.{n}1)" for n in "xym")
     home = " and ".join(f"c{n} = floor(greatest(ba.{n}1, bb.{n}1) / {width('grid')})" for n in "xy")

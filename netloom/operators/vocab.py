@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.tokens import CORE, special_tokens, split_words
+from netloom.operators.arrow import map_batches
+from netloom.operators.forest import flat
 from netloom.operators.ranking import ordered
 
+#: Entries of a vocabulary that is sent to every worker: some 50 MB.
+BROADCAST_WORDS = 1 << 20
+
 
 def token_counts(df: DataFrame, *texts: str, by: Sequence[str] = ()) -> DataFrame:
     """``token`` and ``count`` over the words of some text columns together; null and blank texts have none."""
@@ -21,28 +29,46 @@ def word_vocabulary(df: DataFrame, *texts: str, specials: Sequence[str] | None =
     """``token`` and ``id``: the distinct words but markers in binary order from 0, then the markers in their own order."""
     marks = list(special_tokens() if specials is None else specials)
     words = token_counts(df, *texts).filter(~F.col("token").isin(*marks)).select("token")
-    ids = ordered(words, [F.col("token")]).select("token", (F.col("rank") - 1).alias("id"))
+    ids = ordered(words, ["token"]).select("token", (F.col("rank") - 1).alias("id"))
     size = ids.count()
     tail = df.sparkSession.createDataFrame([(m, size + i) for i, m in enumerate(marks)], "token string, id bigint")
     return ids.unionByName(tail)
 
 
-def encode_words(df: DataFrame, key: str, text: str, vocabulary: DataFrame, unknown: str = CORE["UNK"]) -> DataFrame:
-    """``key`` and ``ids``, the ids of the words of a text in order; words outside the vocabulary have the unknown marker's id.
+def encode_words(df: DataFrame, key: str, text: str, vocabulary: DataFrame, unknown: str = CORE["UNK"], most: int = BROADCAST_WORDS) -> DataFrame:
+    """``key`` and ``ids``, the ids of the words of a text in order; words outside the vocabulary have the unknown marker's id. Blank
+    and null texts have an empty list.
 
-    A join on the word, so the vocabulary may exceed memory; the engine broadcasts it where its measured size allows. Blank
-    and null texts have an empty list. Keys must be unique.
+    A vocabulary of at most ``most`` entries, which are counted, goes to every worker once and is looked up by whole batches, without a
+    shuffle. A larger one is joined on the word; keys must be unique then.
     """
-    words = df.select(F.col(key).alias("k"), F.posexplode(split_words(F.col(text))).alias("at", "token"))
     other = vocabulary.filter(F.col("token") == unknown).select("id").scalar()
-    found = words.join(vocabulary, "token", "left").select("k", "at", F.coalesce("id", other).alias("id"))
+    words = df.select(F.col(key).alias("k"), split_words(F.col(text)).alias("w"))
+    known = vocabulary.select("token", F.col("id").cast("bigint").alias("id")).limit(most + 1).toArrow()
+    if known.num_rows <= most:
+        unknown_id = vocabulary.filter(F.col("token") == unknown).agg(F.max("id")).first()[0]
+        held = df.sparkSession.sparkContext.broadcast((known["token"].combine_chunks(), known["id"].to_numpy()))
+
+        def run(lists: pa.Array) -> list:
+            tokens, ids = held.value
+            values, offsets = flat(lists)
+            at = pc.index_in(values.cast(pa.string()), value_set=tokens.cast(pa.string()))
+            found = at.is_valid().to_numpy(zero_copy_only=False)
+            if not len(ids):
+                out = pa.array([unknown_id] * len(values), pa.int64())
+            else:
+                out = pa.array(np.where(found, ids[pc.fill_null(at, 0).to_numpy(zero_copy_only=False)], -1 if unknown_id is None else unknown_id), pa.int64(), mask=~found if unknown_id is None else None)
+            return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), out)]
+
+        return map_batches(words, ["w"], "ids array<bigint>", run, ["k"]).withColumnRenamed("k", key)
+    found = words.select("k", F.posexplode("w").alias("at", "token")).join(vocabulary, "token", "left").select("k", "at", F.coalesce("id", other).alias("id"))
     lists = found.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("s")).select("k", F.col("s.id").alias("ids"))
     return df.select(F.col(key).alias("k")).join(lists, "k", "left").select(F.col("k").alias(key), F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
 
 
 def ranked_frequencies(counts: DataFrame) -> DataFrame:
     """``rank``, ``token``, ``count`` and ``cum_percent``: the tokens by descending count, ties by token, with the share up to each."""
-    placed = ordered(counts.select("token", "count"), [F.col("count").desc(), F.col("token")], ["count"])
+    placed = ordered(counts.select("token", "count"), ["-count", "token"], ["count"])
     total = counts.agg(F.sum("count")).scalar()
     return placed.select("rank", "token", "count", (F.col("cum_count") * 100.0 / total).alias("cum_percent"))
 
@@ -72,7 +98,7 @@ def distribution(counts: DataFrame) -> DataFrame:
     """
     per = counts.groupBy("count").agg(F.count(F.lit(1)).alias("times"))
     # equal counts share their middle position, so only distinct counts are ranked
-    placed = ordered(per.select("count", "times"), [F.col("count")], ["times"])
+    placed = ordered(per.select("count", "times"), ["count"], ["times"])
     c, t = F.col("count").cast("double"), F.col("times").cast("double")
     total = counts.agg(F.sum("count").cast("double")).scalar()
     n = counts.agg(F.count(F.lit(1)).cast("double")).scalar()

@@ -88,18 +88,29 @@ def k1_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return vocab.word_vocabulary(tokens(spark, d), "source_tokens", "target_tokens")
 
 
-@query(
-    f"""
+#: The ids of each sample's target, as a list and as text.
+IDS = f"""
 WITH {COUNTED.replace("token_dataset", "(SELECT * FROM token_dataset WHERE split = 'train')")}, {VOCAB},
   w AS (SELECT sample_id, unnest(list_transform({TARGET}, lambda t, i: {{'t': t, 'i': i}})) AS x FROM token_dataset),
-  e AS (SELECT sample_id, string_agg(CAST(coalesce(v.id, (SELECT id FROM voc WHERE token = '<UNK_LEN>')) AS VARCHAR), ' ' ORDER BY x.i) AS ids FROM w LEFT JOIN voc v ON v.token = x.t GROUP BY sample_id)
+  v AS (SELECT sample_id, x.i AS i, coalesce(v.id, (SELECT id FROM voc WHERE token = '<UNK_LEN>')) AS id FROM w LEFT JOIN voc v ON v.token = x.t),
+  e AS (SELECT sample_id, list(id ORDER BY i) AS l, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY i) AS ids FROM v GROUP BY sample_id)"""
+
+
+@query(
+    IDS
+    + """
 SELECT s.sample_id, coalesce(e.ids, '') AS ids FROM token_dataset s LEFT JOIN e ON e.sample_id = s.sample_id"""
 )
 def k5_encoded(spark: SparkSession, d: str) -> DataFrame:
     """Targets as ids of a vocabulary of the training split, others as the unknown marker."""
+    return encoded(spark, d)[0].select("sample_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+def encoded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Targets as ids, and the vocabulary."""
     rows = tokens(spark, d)
     words = stored(vocab.word_vocabulary(rows.filter("split = 'train'"), "target_tokens"), "vocabulary")
-    return vocab.encode_words(rows, "sample_id", "target_tokens", words).select("sample_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+    return vocab.encode_words(rows, "sample_id", "target_tokens", words), words
 
 
 @query(
@@ -194,7 +205,7 @@ def curves(spark: SparkSession, d: str) -> DataFrame:
     counts = vocab.token_counts(tokens(spark, d).filter("split is not null"), "target_tokens", by=["split"])
     parts = None
     for split in ("train", "validation", "test"):
-        one = ordered(counts.filter(F.col("split") == split), [F.col("count").desc(), F.col("token")]).select("split", F.col("rank").alias("x"), "count")
+        one = ordered(counts.filter(F.col("split") == split), ["-count", "token"]).select("split", F.col("rank").alias("x"), "count")
         parts = one if parts is None else parts.unionByName(one)
     return reports.resampled(parts, "split", "x", "count")
 

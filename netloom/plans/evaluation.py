@@ -207,7 +207,7 @@ def t10_display_order(spark: SparkSession, d: str) -> DataFrame:
     """Models in display order: size, parameters, name."""
     size = F.coalesce(F.create_map(*[x for i, s in enumerate(SIZES) for x in (F.lit(s), F.lit(i))])[base_of(F.col("model_type"))], F.lit(len(SIZES)))
     rows = table(spark, d, "eval_models").select("model_type", "params_m", size.alias("size"))
-    return ordered(rows, [F.col("size"), F.col("params_m"), F.col("model_type")]).select("rank", "model_type", "params_m")
+    return ordered(rows, ["size", "params_m", "model_type"]).select("rank", "model_type", "params_m")
 
 
 @query(

@@ -22,8 +22,6 @@ OVERLAPS = PINS + f""",
   ovl AS (
     SELECT p.source_design, p.net_id AS a, q.net_id AS b, {VOLUME} AS overlap
     FROM box p JOIN box q ON p.source_design = q.source_design AND p.net_id < q.net_id AND {MEET})"""
-#: Side of a grid cell: about the extent of a usual net.
-CELL = 4096
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -41,13 +39,13 @@ def a1_boxes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {OVERLAPS} SELECT * FROM ovl")
 def j2_overlapping(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of nets of a design whose boxes meet, with what they share."""
-    return spatial.range_join(boxes(spark, d), "net_id", "source_design", CELL)
+    return spatial.range_join(boxes(spark, d), "net_id", "source_design")
 
 
 @query(f"WITH {OVERLAPS} SELECT o.* FROM ovl o JOIN box p ON p.net_id = a JOIN box q ON q.net_id = b WHERE {MEET.replace('>=', '>')}")
 def j3_strictly_overlapping(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of nets that share a volume."""
-    return spatial.range_join(boxes(spark, d), "net_id", "source_design", CELL, strict=True)
+    return spatial.range_join(boxes(spark, d), "net_id", "source_design", strict=True)
 
 
 #: Nets meet where the point of one's driver is a load of another's.
@@ -84,7 +82,7 @@ FROM con c FULL JOIN nam n ON n.source_design = c.source_design AND n.a = c.a AN
 def g13_design_graph(spark: SparkSession, d: str) -> DataFrame:
     """One edge a pair of nets, overlap before connection."""
     names = table(spark, d, "net_seqs").filter("net_name is not null").select("net_id", "net_name")
-    near = spatial.range_join(boxes(spark, d), "net_id", "source_design", CELL)
+    near = spatial.range_join(boxes(spark, d), "net_id", "source_design")
     named = (
         near.join(names.select(F.col("net_id").alias("a"), F.col("net_name").alias("na")), "a").join(names.select(F.col("net_id").alias("b"), F.col("net_name").alias("nb")), "b")
         .filter("na <> nb").groupBy("source_design", F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.max("overlap").alias("overlap"))
@@ -142,7 +140,7 @@ def t1_net_order(spark: SparkSession, d: str) -> DataFrame:
     from netloom.operators.ranking import ordered
 
     sized = spatial.order_nets(table(spark, d, "net_seqs").select("net_id", "loads"), "loads", "net_id").select("net_id", F.col("n_loads").cast("long").alias("n_loads"), "area")
-    return ordered(sized, [F.col("n_loads").desc(), F.col("area").desc(), F.col("net_id")])
+    return ordered(sized, ["-n_loads", "-area", "net_id"])
 
 
 @query(

@@ -139,4 +139,4 @@ def sel21_numeric_order(spark: SparkSession, d: str) -> DataFrame:
 
     text = table(spark, d, "designs").select("source_design", F.col("core_area").cast("bigint").cast("string").alias("x"))
     rows = text.filter(F.col("x").rlike(r"^\d+$")).select("source_design", F.col("x").cast("bigint").alias("nets"))
-    return ordered(rows, [F.col("nets"), F.col("source_design")]).select("rank", "source_design", "nets")
+    return ordered(rows, ["nets", "source_design"]).select("rank", "source_design", "nets")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators import embeddings as emb
 from netloom.operators import sampling, vocab
-from netloom.plans.corpus import COUNTED
+from netloom.plans.corpus import COUNTED, IDS, encoded
 from netloom.plans.registry import query
 from netloom.session import stored, table
 
@@ -88,38 +88,42 @@ def t7_split_sizes(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT chunk, count(*) AS n, min(net_id) AS first, max(net_id) AS last FROM (SELECT net_id, (row_number() OVER (ORDER BY net_id) - 1) // ((SELECT count(*) FROM net_seqs) // 7) AS chunk FROM net_seqs) WHERE chunk < 7 GROUP BY chunk")
 def t12_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Equal runs of rows."""
-    rows = sampling.chunks(table(spark, d, "net_seqs").select("net_id"), [F.col("net_id")], 7)
+    rows = sampling.chunks(table(spark, d, "net_seqs").select("net_id"), ["net_id"], 7)
     return rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("net_id").alias("first"), F.max("net_id").alias("last"))
 
 
+def markers(words: DataFrame, *tokens: str) -> list[int]:
+    """Ids of some markers."""
+    of = {r.token: r.id for r in words.filter(F.col("token").isin(*tokens)).collect()}
+    return [of[t] for t in tokens]
+
+
 @query(
-    """
-WITH t AS (SELECT sample_id, list_filter(string_split_regex(coalesce(target_tokens, ''), '\\s+'), lambda x: x <> '') AS w FROM token_dataset),
-  i AS (SELECT sample_id, list_transform(w, lambda x: length(x)) AS ids FROM t)
-SELECT sample_id, array_to_string(ids[1:16], ' ') AS head, array_to_string(list_transform(ids, lambda x: CASE WHEN x = 5 THEN -100 ELSE x END), ' ') AS labels FROM i WHERE len(ids) > 0"""
+    IDS
+    + """
+SELECT sample_id, array_to_string(l[1:16], ' ') AS head, array_to_string(list_transform(l, lambda x: CASE WHEN x = (SELECT id FROM voc WHERE token = '<PAD>') THEN -100 ELSE x END), ' ') AS labels FROM e""".replace(
+        "(SELECT id FROM voc WHERE token = '<PAD>')", "p"
+    ).replace("FROM e", "FROM e, (SELECT id AS p FROM voc WHERE token = '<PAD>')")
 )
 def t14_truncated(spark: SparkSession, d: str) -> DataFrame:
-    """Ids cut to a length, and labels with padding masked; word lengths stand for ids."""
-    from netloom.functions.tokens import split_words
-
-    ids = F.transform(split_words(F.col("target_tokens")), F.length)
-    rows = table(spark, d, "token_dataset").select("sample_id", ids.alias("ids")).filter("size(ids) > 0")
+    """Target ids cut to a length, and labels with padding masked."""
+    ids, words = encoded(spark, d)
+    (pad,) = markers(words, "<PAD>")
     text = lambda c: F.array_join(c.cast("array<string>"), " ")
-    return rows.select("sample_id", text(sampling.truncate(F.col("ids"), 16)).alias("head"), text(sampling.mask_padding(F.col("ids"), 5)).alias("labels"))
+    rows = ids.filter("size(ids) > 0")
+    return rows.select("sample_id", text(sampling.truncate(F.col("ids"), 16)).alias("head"), text(sampling.mask_padding(F.col("ids"), pad)).alias("labels"))
 
 
 @query(
-    """
-WITH t AS (SELECT sample_id, list_transform(list_filter(string_split_regex(coalesce(target_tokens, ''), '\\s+'), lambda x: x <> ''), lambda x: length(x)) AS ids FROM token_dataset),
-  x AS (SELECT sample_id, unnest(list_transform(ids, lambda v, i: {'v': v, 'i': i})) AS e FROM t),
-  r AS (SELECT sample_id, e.v AS v, e.i AS i, e.v IN (5, 6) AS kept, sum((e.v NOT IN (5, 6))::INT) OVER (PARTITION BY sample_id ORDER BY e.i DESC) AS back, sum((e.v IN (5, 6))::INT) OVER (PARTITION BY sample_id) AS n_kept FROM x)
-SELECT sample_id, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY i) AS ids FROM r WHERE n_kept <= 20 AND (kept OR back <= 20 - n_kept) GROUP BY sample_id"""
+    IDS
+    + """,
+  k AS (SELECT id FROM voc WHERE token IN ('<PUSH>', '<POP>')),
+  r AS (SELECT sample_id, id AS v, i, id IN (SELECT id FROM k) AS kept FROM v),
+  s AS (SELECT *, sum((NOT kept)::INT) OVER (PARTITION BY sample_id ORDER BY i DESC) AS back, sum(kept::INT) OVER (PARTITION BY sample_id) AS n_kept FROM r)
+SELECT sample_id, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY i) AS ids FROM s WHERE n_kept <= 20 AND (kept OR back <= 20 - n_kept) GROUP BY sample_id"""
 )
 def t13_protected(spark: SparkSession, d: str) -> DataFrame:
-    """Ids cut to 20, protected ones kept; word lengths stand for ids."""
-    from netloom.functions.tokens import split_words
-
-    ids = F.transform(split_words(F.col("target_tokens")), F.length)
-    rows = table(spark, d, "token_dataset").select("sample_id", ids.alias("ids"))
-    cut = rows.select("sample_id", sampling.truncate_protected(F.col("ids"), 20, [5, 6]).alias("ids")).filter("size(ids) > 0")
+    """Target ids cut to 20, those of branch markers kept."""
+    ids, words = encoded(spark, d)
+    cut = ids.select("sample_id", sampling.truncate_protected(F.col("ids"), 20, markers(words, "<PUSH>", "<POP>")).alias("ids")).filter("size(ids) > 0")
     return cut.select("sample_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))

@@ -101,6 +101,7 @@ def test_range_join_equals_all_pairs(spark, strict):
         boxes.append((i, rng.choice("ab") if i else None, x, y, m, x + rng.randrange(size + 1), y + rng.randrange(size + 1), m + rng.randrange(3)))
     df = spark.createDataFrame(boxes, "id bigint, g string, x1 bigint, y1 bigint, m1 bigint, x2 bigint, y2 bigint, m2 bigint")
     out = spatial.range_join(df, "id", "g", 10, strict).collect()
+    assert sorted(map(str, spatial.range_join(df, "id", "g", None, strict).collect())) == sorted(map(str, out))
     got = {(r.a, r.b): r.overlap for r in out}
     want = {}
     for p in boxes:
@@ -186,13 +187,13 @@ def test_ordered_positions(spark):
     rng = random.Random(1)
     rows = [(i, rng.randrange(50), rng.choice([None, 1, 2])) for i in range(700)]
     df = spark.createDataFrame(rows, "k bigint, v bigint, w bigint")
-    out = ranking.ordered(df.repartition(7), [F.col("v").desc(), F.col("k")], ["w"]).collect()
+    out = ranking.ordered(df.repartition(7), ["-v", "k"], ["w"]).collect()
     want, total = sorted(rows, key=lambda r: (-r[1], r[0])), 0
     for r, w in zip(sorted(out, key=lambda r: r["rank"]), want):
         total += w[2] or 0
         assert (r.k, r.v, r.w, r.cum_w) == (*w, total)
     assert [r["rank"] for r in sorted(out, key=lambda r: r["rank"])] == list(range(1, 701))
-    assert ranking.ordered(df.limit(0), [F.col("k")], ["w"]).count() == 0
+    assert ranking.ordered(df.limit(0), ["k"], ["w"]).count() == 0
 
 
 def test_sampling(spark):
@@ -212,8 +213,12 @@ def test_vocabulary(spark):
     words = {r.token: r.id for r in vocab.word_vocabulary(df, "t", specials=["<EOS>", "<UNK_LEN>"]).collect()}
     assert words == {"B": 0, "a": 1, "b": 2, "zz": 3, "é": 4, "<EOS>": 5, "<UNK_LEN>": 6}
     table = vocab.word_vocabulary(df.filter("k = 1"), "t", specials=["<EOS>", "<UNK_LEN>"])
-    out = {r.k: r.ids for r in vocab.encode_words(df, "k", "t", table).collect()}
-    assert out == {1: [1, 0, 2], 2: [], 3: [3, 3, 0, 3], 4: []}
+    for most in (100, 2):
+        out = {r.k: r.ids for r in vocab.encode_words(df, "k", "t", table, most=most).collect()}
+        assert out == {1: [1, 0, 2], 2: [], 3: [3, 3, 0, 3], 4: []}
+    for most in (100, 0):
+        none = vocab.encode_words(df, "k", "t", table.filter("token = 'a'"), most=most).collect()
+        assert {r.k: r.ids for r in none} == {1: [None, 0, None], 2: [], 3: [None, None, 0, None], 4: []}
     even = vocab.distribution(spark.createDataFrame([("a", 5), ("b", 5)], "token string, count bigint")).first()
     assert even.entropy == pytest.approx(1.0) and even.gini == pytest.approx(0.0)
 
