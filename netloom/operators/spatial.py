@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.coords import parse, render
+from netloom.session import stored
 
-CELLS_PER_BOX = 64
+CELLS_PER_BOX = 16
 BOXES_PER_CELL = 4
 
 
@@ -38,7 +39,8 @@ def range_join(boxes: DataFrame, key: str, by: str, cell: int | None = None, str
     is taken from each ``by``: such that ``BOXES_PER_CELL`` boxes would lie in one if they lay evenly.
     """
     box = F.struct(*[F.col(f"{n}{i}") for i in (1, 2) for n in "xym"])
-    rows = boxes.filter(F.col(by).isNotNull()).select(F.col(by).alias("g"), F.col(key).alias("id"), box.alias("box"))
+    # boxes come out of parsed texts and are used several times
+    rows = stored(boxes.filter(F.col(by).isNotNull()).select(F.col(by).alias("g"), F.col(key).alias("id"), box.alias("box")), "boxes")
     if cell is None:
         extent = lambda n: f"(max(box.{n}2) - min(box.{n}1) + 1D)"
         side = F.expr(f"cast(greatest(1D, ceil(sqrt({extent('x')} * {extent('y')} * {BOXES_PER_CELL} / count(1)))) as bigint)")

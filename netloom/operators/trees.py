@@ -43,8 +43,8 @@ def tree_shape(df: DataFrame, key: str, tree: str) -> DataFrame:
     return map_batches(df, [tree], fields, run, [key])
 
 
-def tree_edges(df: DataFrame, key: str, tree: str) -> DataFrame:
-    """``key`` and ``edges``, the parent-to-child pairs of points of each row in pre-order."""
+def tree_edges(df: DataFrame, key: str | list[str], tree: str) -> DataFrame:
+    """``key`` (one or several columns) and ``edges``, the parent-to-child pairs of points of each row in pre-order."""
 
     def run(lists: pa.Array) -> list:
         f = Forest.parse(lists)
@@ -55,7 +55,7 @@ def tree_edges(df: DataFrame, key: str, tree: str) -> DataFrame:
         return [pa.ListArray.from_arrays(pa.array(at), pair)]
 
     kind = "struct<x:bigint,y:bigint,m:bigint>"
-    return map_batches(df, [tree], f"edges array<struct<s:{kind},e:{kind}>>", run, [key])
+    return map_batches(df, [tree], f"edges array<struct<s:{kind},e:{kind}>>", run, [key] if isinstance(key, str) else key)
 
 
 def simplify(df: DataFrame, key: str, tree: str, name: str = "simplified") -> DataFrame:
@@ -176,6 +176,33 @@ def drawn_and_true(df: DataFrame, key: str, moves: str, tree: str, keep: tuple[s
     return map_batches(df, [moves, tree], "pred array<string>, true array<string>", run, [key, *keep])
 
 
+def validate(df: DataFrame, key: str, tree: str, loads: str) -> DataFrame:
+    """``key``, ``n_points`` and the checks of a strict routing tree: ``has_duplicates`` (a point twice, which also is a cycle), ``is_rectilinear``
+    (every edge on one axis), ``leaves_are_loads``, ``loads_are_points`` and ``is_valid``, all of them for a tree with a point.
+
+    Points that do not hang on the first root are no part of the tree, so what is in it can be reached. Null and empty trees are not valid.
+    """
+
+    def run(lists: pa.Array, targets: pa.Array) -> list:
+        f = Forest.parse(lists)
+        names, leaf, e = f.names(), f.leaves(), f.edges()
+        n = f.by_row(np.arange(f.n))
+        distinct, _, _ = common_by_row(names, f.row, names, f.row, f.rows)
+        straight = (f.steps()[e] != 0).sum(axis=1) == 1
+        values, offsets = flat(targets)
+        ok, at = parse_points(values.cast(pa.string()))
+        row, at = np.repeat(np.arange(f.rows), np.diff(offsets))[ok], at[ok]
+        wanted = mix(at[:, 0], at[:, 1], at[:, 2])
+        n_loads, _, met = common_by_row(wanted, row, names, f.row, f.rows)
+        n_leaves, _, useful = common_by_row(names[leaf], f.row[leaf], wanted, row, f.rows)
+        twice, rectilinear = distinct < n, f.by_row(e[~straight]) == 0
+        checks = [n_leaves == useful, n_loads == met]
+        return [n, twice, rectilinear, *checks, (n > 0) & ~twice & rectilinear & checks[0] & checks[1]]
+
+    fields = "n_points bigint, has_duplicates boolean, is_rectilinear boolean, leaves_are_loads boolean, loads_are_points boolean, is_valid boolean"
+    return map_batches(df, [tree, loads], fields, run, [key])
+
+
 # -- metrics -------------------------------------------------------------------
 
 

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Imports the modules whose queries register themselves."""
-    from netloom.plans import coords, corpus, drawn, evaluation, forests, graphs, skew, texts, tools, vectors  # noqa: F401
+    from netloom.plans import coords, corpus, drawn, evaluation, files, forests, graphs, skew, texts, tools, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -159,6 +159,42 @@ def whole_files(spark: SparkSession, pattern: str, path_regex: str, names: Seque
     return files.select(*[F.regexp_extract("_f", path_regex, i).alias(n) for i, n in enumerate(names, 1)], "text")
 
 
+def read_coordinates(spark: SparkSession, folder: str) -> DataFrame:
+    """``kind``, ``label``, ``token``, ``x``, ``y``, ``z`` and ``dimensions`` of the coordinate CSVs of a folder.
+
+    The kind is how a file (or the folder a file is in) is named: ``human_`` or ``domain_``; others are not read. A file has two or three
+    dimensions, by its header; ``z`` is null in two. An empty table without files.
+    """
+    schema = "kind string, label string, token string, x double, y double, z double, dimensions int"
+    out = None
+    for kind in ("human", "domain"):
+        for name in children(spark, folder):
+            if not name.startswith(kind + "_"):
+                continue
+            rows = spark.read.csv(f"{folder}/{name}", header=True)
+            flat = "z" not in rows.columns
+            z = F.lit(None) if flat else F.col("z")
+            part = rows.select(F.lit(kind).alias("kind"), "label", "token", *[F.col(c).try_cast("double").alias(c) for c in "xy"], z.try_cast("double").alias("z"), F.lit(2 if flat else 3).alias("dimensions"))
+            out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def metadata_grid(spark: SparkSession, base: str, algorithms: Sequence[str], sizes: Sequence[int]) -> DataFrame:
+    """``algorithm``, ``vocab_size`` and ``metadata`` (JSON text) of the folders ``<algorithm>-<size>`` there are; missing ones are left out."""
+    found = whole_files(spark, f"{base}/*/metadata.json", r"([^/]+)-(\d+)/metadata\.json$", ["algorithm", "vocab_size"])
+    wanted = F.col("algorithm").isin(*algorithms) & F.col("vocab_size").cast("int").isin(*sizes)
+    return found.filter(wanted).select("algorithm", F.col("vocab_size").cast("int").alias("vocab_size"), F.col("text").alias("metadata"))
+
+
+def with_predictions(dataset: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+    """The dataset with its predictions, by key. An error if a row has no prediction or several, or a prediction no row."""
+    marked = dataset.withColumn("_d", F.lit(1)).join(predictions.withColumn("_p", F.lit(1)), key, "full")
+    rows, found, pairs = dataset.count(), predictions.count(), marked.agg(F.count_if(F.col("_d").isNotNull() & F.col("_p").isNotNull())).first()[0]
+    if not rows == found == pairs:
+        raise ValueError(f"{rows} rows and {found} predictions make {pairs} pairs")
+    return marked.drop("_d", "_p")
+
+
 def expected_grid(spark: SparkSession, designs: DataFrame, found: DataFrame, kinds: Sequence[str] = META, key: str = "source_design") -> DataFrame:
     """Every design and kind, with what was found for it or nulls."""
     grid = designs.select(key, F.explode(F.array(*[F.lit(k) for k in kinds])).alias("meta_type"))

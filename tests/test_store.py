@@ -79,6 +79,26 @@ def test_exports(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/t").count() == 6
 
 
+def test_coordinates_grids_and_predictions(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "human_a.csv").write_text("label,token,x,y\nl,t,1.5,2\nl,u,x,\n")
+    (tmp_path / "c" / "domain_b.csv").write_text("label,token,x,y,z\nm,v,1,2,3\n")
+    (tmp_path / "c" / "other.csv").write_text("a\n1\n")
+    got = sorted(tuple(r) for r in store.read_coordinates(spark, f"{tmp_path}/c").collect())
+    assert got[0] == ("domain", "m", "v", 1.0, 2.0, 3.0, 3) and got[1] == ("human", "l", "t", 1.5, 2.0, None, 2) and got[2][3:] == (None, None, None, 2)
+    assert store.read_coordinates(spark, f"{tmp_path}/none").count() == 0
+    for name in ("BPE-1000", "BPE-4000", "Unigram-1000"):
+        (tmp_path / "g" / name).mkdir(parents=True)
+        (tmp_path / "g" / name / "metadata.json").write_text('{"vocab": 7}')
+    grid = store.metadata_grid(spark, f"{tmp_path}/g", ["BPE", "WordPiece"], [1000, 16000]).collect()
+    assert [(r.algorithm, r.vocab_size, r.metadata) for r in grid] == [("BPE", 1000, '{"vocab": 7}')]
+    rows, found = spark.range(3).withColumn("a", F.lit(1)), spark.range(3).withColumn("p", F.lit("x"))
+    assert store.with_predictions(rows, found, "id").filter("p = 'x' and a = 1").count() == 3
+    for bad in (found.filter("id > 0"), found.union(found.filter("id = 0")), found.withColumn("id", F.col("id") + 1)):
+        with pytest.raises(ValueError):
+            store.with_predictions(rows, bad, "id")
+
+
 def test_config():
     c = store.EngineConfig(workspace="/a/x", seed=7)
     assert store.EngineConfig.from_dict(c.to_dict()) == c and c.with_prefix("/a", "/b").workspace == "/b/x"
