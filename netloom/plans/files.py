@@ -13,12 +13,12 @@ from netloom.plans.coords import IS_POINT, NUMBER
 from netloom.plans.forests import NET_TREE
 from netloom.plans.registry import query
 from netloom.plans.texts import TREE
-from netloom.session import shared_dir, table
+from netloom.session import table, work_dir
 from netloom.sources import store
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/netloom/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.operators.selection import quantiles_by_key
+from netloom.operators.selection import heavy_values, quantiles_by_key
 from netloom.plans.registry import query
 from netloom.session import table
 
@@ -32,6 +32,4 @@ def p3_design_quantiles(spark: SparkSession, d: str) -> DataFrame:
        HAVING count(*) > 0.05 * (SELECT count(*) FROM net_seqs)"""
 )
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    per_design = p3_design_quantiles(spark, d)
-    total = per_design.agg(F.sum("n_rows")).scalar()
-    return per_design.filter(F.col("source_design").isNotNull() & (F.col("n_rows") * 20 > total)).select("source_design")
+    return heavy_values(table(spark, d, "net_seqs"), "source_design", 50).select("source_design")

@@ -32,12 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark)}/netloom/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every table this application has stored; frames that read them, results of operators among these, are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str = "step", partition_by: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
     Cuts the lineage with files that outlive executors; read again with the same schema, pruned by column.
     """
-    path = f"{shared_dir(df.sparkSession)}/netloom/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

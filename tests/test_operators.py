@@ -9,7 +9,7 @@ from netloom.functions import logs
 from netloom.functions import tokens as t
 from netloom.functions.coords import add, delta_tokens, divide, floor_divide, parse, render, scale
 from netloom.operators import netseq, ranking, rewards, sampling, spatial, vocab
-from netloom.operators.selection import quantiles_by_key
+from netloom.operators.selection import heavy_values, quantiles_by_key
 
 
 def one(spark, value, f, kind="array<string>"):
@@ -174,6 +174,23 @@ def test_prefix_trees_of_many_nets():
     assert Forest.parse(f.serialise()).parent.tolist() == f.parent.tolist()
 
 
+@pytest.mark.parametrize("seed,permille", [(1, 50), (2, 50), (3, 100), (4, 300)])
+def test_heavy_values(spark, seed, permille):
+    rng = random.Random(seed)
+    names = [None] * 4 + ["", "hot"] * 6 + [f"d{i}" for i in range(12)] * 2 + [f"s{i}" for i in range(60)]
+    rows = [(rng.choice(names), 1, 2) for _ in range(rng.choice([20, 21, 400, 1001]))]
+    df = spark.createDataFrame(rows, "g string, count int, hash int")
+    want = {g: n for g, n in Counter(r[0] for r in rows).items() if g is not None and n * 1000 > len(rows) * permille}
+    assert {r.g: r["count"] for r in heavy_values(df, "g", permille).collect()} == want
+
+
+def test_heavy_values_of_few(spark):
+    df = spark.createDataFrame([], "g string")
+    assert heavy_values(df, "g").count() == 0
+    assert heavy_values(spark.createDataFrame([(None,), (None,)], "g string"), "g").count() == 0
+    assert [tuple(r) for r in heavy_values(spark.createDataFrame([("a",), ("a",)], "g string"), "g").collect()] == [("a", 2)]
+
+
 def test_patterns():
     path = [(i, i % 2, 0) for i in range(20)]
     parts = netseq.halves(path, 4)
