@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from netloom.functions.tokens import split_words, strip
 from netloom.operators.arrow import map_batches
@@ -53,16 +54,20 @@ def f_measure(shared: np.ndarray, wanted: np.ndarray, given: np.ndarray) -> np.n
 
 
 def text_metrics(df: DataFrame, key: str, target: str, prediction: str) -> DataFrame:
-    """``key``, ``rouge1_f, rouge2_f, rougel_f, bleu_1, bleu_2, bleu_4, exact_match`` of two token texts.
+    """``key``, ``rouge1_f, rouge2_f, rougel_f, bleu_1, bleu_2, bleu_4, exact_match`` of two token texts, or of two arrays of
+    tokens or ids, as a tokenizer gives them.
 
-    Tokens stand between white space. BLEU is the clipped precision of runs up to 4 tokens with the brevity penalty; a precision
+    Tokens of a text stand between white space. BLEU is the clipped precision of runs up to 4 tokens with the brevity penalty; a precision
     without a match counts as 0.1 over the number of runs, but without a single common token BLEU is 0. Null counts as empty; an
     empty side gives 0. ``exact_match`` compares the texts without outer white space.
     """
-    rows = df.select(
-        F.col(key).alias("k"), split_words(F.col(target)).alias("t"), split_words(F.col(prediction)).alias("p"),
-        (strip(F.coalesce(F.col(target), F.lit(""))) == strip(F.coalesce(F.col(prediction), F.lit("")))).cast("double").alias("exact_match"),
-    )
+    if isinstance(df.schema[target].dataType, ArrayType):
+        t, p = (F.coalesce(F.col(c).cast("array<string>"), F.array().cast("array<string>")) for c in (target, prediction))
+        same = t == p
+    else:
+        t, p = split_words(F.col(target)), split_words(F.col(prediction))
+        same = strip(F.coalesce(F.col(target), F.lit(""))) == strip(F.coalesce(F.col(prediction), F.lit("")))
+    rows = df.select(F.col(key).alias("k"), t.alias("t"), p.alias("p"), same.cast("double").alias("exact_match"))
 
     def run(target_: pa.Array, given_: pa.Array, exact: pa.Array) -> list:
         (tv, to), (gv, go) = flat(target_), flat(given_)

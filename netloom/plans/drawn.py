@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from netloom.operators import netseq, rewards, trees
 from netloom.plans.coords import ANGLES, IS_POINT, NUMBER
-from netloom.plans.forests import NET_TREE, f28_routing, m4_repaired, routed, texts
+from netloom.plans.forests import NET_TREE, _words, f28_routing, m1_text_metrics, m4_repaired, routed, texts
 from netloom.plans.registry import query
-from netloom.plans.texts import DRIVER_MOVES, FUNNEL, LIST, MOVES, SEGMENTED, TREE, f26_with_neighbours, sel13_available_sequences
+from netloom.plans.texts import DRIVER_MOVES, FUNNEL, LIST, MOVES, SEGMENTED, TARGETS, TREE, f26_with_neighbours, sel13_available_sequences
 from netloom.session import table
 
 STEP = " ".join(f"WHEN '{up}' THEN '(' || {one} || ')' WHEN '{down}' THEN '(' || {two} || ')'" for (up, down), one, two in (
@@ -140,6 +140,20 @@ def m4_check(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    f"""
+WITH made AS ({TARGETS}),
+  pair AS (SELECT s.sample_id AS id, {_words('m.target')} AS t, {_words('s.target_tokens')} AS p FROM token_dataset s LEFT JOIN made m ON m.sample_id = s.sample_id),
+  eq AS (SELECT id, len(t) AS nt, len(p) AS np, list_transform(t, lambda a: list_transform(p, lambda b: CASE WHEN a = b THEN 1 ELSE 0 END)) AS e, list_transform(p, lambda b: 0) AS zero FROM pair WHERE t <> p AND len(t) > 0 AND len(p) > 0),
+  rows AS (SELECT id, nt, np, list_reduce(list_prepend(zero, e), lambda s, r:
+      list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(s[i], coalesce(s[i - 1], 0) + r[i]))))) AS last FROM eq)
+SELECT p.id AS sample_id, CASE WHEN p.t = p.p AND len(p.t) > 0 THEN 1.0 ELSE round(coalesce(2 * r.last[-1] / (r.nt + r.np), 0), 9) END AS rougel_f FROM pair p LEFT JOIN rows r ON r.id = p.id"""
+)
+def m1_rougel(spark: SparkSession, d: str) -> DataFrame:
+    """M1: ROUGE-L, whose table of common subsequences SQL builds row by row."""
+    return m1_text_metrics(spark, d).select("sample_id", F.round("rougel_f", 9).alias("rougel_f"))
+
+
 PATHS = NET_TREE + """,
   pth AS (SELECT id, i, '' AS up, x || ',' || y || ',' || m AS path FROM nod WHERE parent IS NULL
     UNION ALL SELECT n.id, n.i, p.path, p.path || '>' || n.x || ',' || n.y || ',' || n.m FROM nod n JOIN pth p ON p.id = n.id AND p.i = n.parent),

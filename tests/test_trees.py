@@ -8,6 +8,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from netloom.operators import text_metrics, trees
 from netloom.operators.forest import Forest
@@ -361,6 +362,14 @@ def lcs(a, b):
     return row[-1]
 
 
+def test_text_metrics_of_ids(spark):
+    rows = [(1, [5, 6, 7, 8], [5, 6, 7, 9]), (2, [1], None), (3, [2, 2], [2, 2])]
+    ids = spark.createDataFrame(rows, "k int, t array<int>, p array<int>")
+    text = ids.select("k", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in "tp"])
+    a, b = (sorted(map(tuple, text_metrics.text_metrics(df, "k", "t", "p").collect())) for df in (ids, text))
+    assert a == b and a[0][3] == pytest.approx(0.75) and a[2][7] == 1.0
+
+
 def test_text_metrics(spark):
     rng = random.Random(2)
     word = lambda: rng.choice(["R1", "U2", "D3", "<PUSH>", "<POP>"])
