@@ -9,17 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def map_batches(df: DataFrame, columns: Sequence[str], schema: str, f: Callable[..., Sequence], keep: Sequence[str] = (), rows: int = 2000, spread: bool = False) -> DataFrame:
+def map_batches(df: DataFrame, columns: Sequence[str], schema: str, f: Callable[..., Sequence], keep: Sequence[str] = (), rows: int = 2000) -> DataFrame:
     """Adds columns that ``f`` computes from whole batches of ``columns``.
 
     ``f`` gets an Arrow array for each of ``columns`` and returns one array or list for each field of ``schema``, of the same
     length. Only ``keep`` and ``columns`` are read; the result has ``keep`` and the new fields. Batches have at most ``rows``
-    rows, so memory does not grow with the data. No shuffle, unless ``spread``, for work that outweighs its input by far, and the scan has fewer
-    tasks than there are cores.
+    rows, so memory does not grow with the data. No shuffle.
     """
     source = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    if spread and source.rdd.getNumPartitions() < (cores := df.sparkSession.sparkContext.defaultParallelism):
-        source = source.repartition(cores)
     n = len(keep)
     names = [x.strip().split(" ")[0].strip("`") for x in _fields(schema)]
 
@@ -36,6 +33,12 @@ def map_batches(df: DataFrame, columns: Sequence[str], schema: str, f: Callable[
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for work that outweighs its input by far: dealt out anew if it has fewer tasks than there are cores, as one small file has, else as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _fields(schema: str) -> list[str]:
     """Fields of a schema text, cut at commas outside angle brackets."""
     parts, depth, now = [], 0, ""

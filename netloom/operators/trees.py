@@ -73,8 +73,8 @@ def simplify(df: DataFrame, key: str, tree: str, name: str = "simplified") -> Da
     return map_batches(df, [tree], f"{name} array<string>", run, [key])
 
 
-def target_tokens(df: DataFrame, key: str, tree: str, name: str = "target") -> DataFrame:
-    """``key`` and the array of moves that draws a tree relative to its driver.
+def target_tokens(df: DataFrame, key: str, tree: str, name: str = "target", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """``key``, ``keep`` and the array of moves that draws a tree relative to its driver.
 
     Each point is the moves from the point before it in the tree, in the order x, y, layer, from (0, 0, 0) for a first one;
     ``[BRANCH]`` and ``[END]`` become ``<PUSH>`` and ``<POP>``; open branches are closed and ``<EOS>`` ends the sequence. A null
@@ -121,7 +121,7 @@ def target_tokens(df: DataFrame, key: str, tree: str, name: str = "target") -> D
         null = lists.is_null()
         return [pc.if_else(null, pa.nulls(rows, result.type), result) if null.true_count else result]
 
-    return map_batches(df, [tree], f"{name} array<string>", run, [key])
+    return map_batches(df, [tree], f"{name} array<string>", run, [key, *keep])
 
 
 def move_tokens(text: Column) -> Column:

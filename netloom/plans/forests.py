@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from netloom.functions import coords as c
 from netloom.functions.tokens import rectilinear
 from netloom.operators import netseq, rewards, text_metrics, trees
+from netloom.operators.arrow import spread
 from netloom.operators.repair import repair_trees
 from netloom.plans.coords import IS_POINT, relative
 from netloom.plans.registry import query
@@ -86,7 +87,7 @@ def g2_simplified(spark: SparkSession, d: str) -> DataFrame:
 
 def routed(spark: SparkSession, d: str) -> DataFrame:
     """Each sample with the tree its target tokens draw, and its true relative tree, both simplified."""
-    rows = table(spark, d, "token_dataset")
+    rows = spread(table(spark, d, "token_dataset").select("sample_id", "relative_loads", "relative_tree_seq", "target_tokens"))
     source = rows.select("sample_id", "relative_loads", "relative_tree_seq", trees.move_tokens(F.col("target_tokens")).alias("moves"))
     return trees.drawn_and_true(source, "sample_id", "moves", "relative_tree_seq", ["relative_loads"])
 
@@ -159,9 +160,9 @@ def m2_structure(spark: SparkSession, d: str) -> DataFrame:
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """Each sample's tokens and those that its true tree gives."""
-    rows = table(spark, d, "token_dataset")
-    made = trees.target_tokens(rows.select("sample_id", "relative_tree_seq"), "sample_id", "relative_tree_seq").select("sample_id", F.array_join("target", " ").alias("made"))
-    return rows.select("sample_id", "target_tokens", "relative_loads").join(made, "sample_id")
+    rows = spread(table(spark, d, "token_dataset").select("sample_id", "target_tokens", "relative_loads", "relative_tree_seq"))
+    made = trees.target_tokens(rows, "sample_id", "relative_tree_seq", keep=["target_tokens", "relative_loads"])
+    return made.select("sample_id", "target_tokens", "relative_loads", F.array_join("target", " ").alias("made"))
 
 
 @query()
