@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from netloom.operators import netseq, rewards, trees
 from netloom.plans.coords import ANGLES, IS_POINT, NUMBER
 from netloom.plans.forests import NET_TREE, _words, f28_routing, m1_text_metrics, m4_repaired, routed, texts
-from netloom.plans.registry import query
-from netloom.plans.texts import DRIVER_MOVES, FUNNEL, LIST, MOVES, SEGMENTED, TARGETS, TREE, f26_with_neighbours, sel13_available_sequences
+from netloom.plans.registry import attach, query
+from netloom.plans.texts import DRIVER_MOVES, FUNNEL, LIST, MOVES, SEGMENTED, TARGETS, TREE
 from netloom.session import table
 
 STEP = " ".join(f"WHEN '{up}' THEN '(' || {one} || ')' WHEN '{down}' THEN '(' || {two} || ')'" for (up, down), one, two in (
@@ -184,7 +184,8 @@ def g10_prefix_trees(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(
+attach(
+    "a3_pattern_counts",
     NET_TREE
     + """,
   par_ AS (SELECT DISTINCT id, parent AS i FROM nod WHERE parent IS NOT NULL),
@@ -194,14 +195,11 @@ SELECT CASE WHEN x = px AND y = py AND m = pm THEN '' WHEN x = px AND y = py THE
   WHEN x = px THEN CASE WHEN py < y THEN 'U' ELSE 'D' END || abs(y - py) ELSE CASE WHEN px < x THEN 'R' ELSE 'L' END || abs(x - px) END AS pattern, count(*) AS count
 FROM up u JOIN edg e ON e.id = u.id AND e.i = u.i GROUP BY pattern"""
 )
-def a3_patterns(spark: SparkSession, d: str) -> DataFrame:
-    """How often each pin-to-pin pattern occurs."""
-    from netloom.plans.forests import a3_pattern_counts
 
-    return a3_pattern_counts(spark, d)
 
 
-@query(
+attach(
+    "sel13_available_sequences",
     FUNNEL
     + rf""",
   r AS (SELECT net_id, regexp_replace(replace(replace(usable, '>', '[BRANCH]'), '<', '[END]'), '\((-?\d+),(-?\d+),(-?\d+)\)', '(\1, \2, \3)', 'g') AS restored FROM u),
@@ -211,9 +209,7 @@ def a3_patterns(spark: SparkSession, d: str) -> DataFrame:
   a AS (SELECT net_id, bool_and(i = 1 OR (dx <> 0)::INT + (dy <> 0)::INT + (dm <> 0)::INT = 1) AS ok, string_agg(concat_ws(' ', {MOVES}), ' ' ORDER BY i) FILTER (i > 1) AS w FROM s GROUP BY net_id)
 SELECT r.net_id, CASE WHEN ok THEN concat_ws(' ', w, '<EOS>') ELSE '' END AS prediction FROM r LEFT JOIN a ON a.net_id = r.net_id"""
 )
-def sel13_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Usable sequences as moves from their first point."""
-    return sel13_available_sequences(spark, d)
+
 
 
 def _block(kind: int, name: str) -> str:
@@ -221,7 +217,8 @@ def _block(kind: int, name: str) -> str:
       FROM item WHERE item.net_id = n.net_id AND kind = {kind}), '<{name}_END>') END"""
 
 
-@query(
+attach(
+    "f26_with_neighbours",
     f"""
 WITH {ANGLES.replace('pins', 'own_pins').replace('moved', 'own_moved').replace('placed', 'own')},
   nbr AS (
@@ -238,6 +235,3 @@ SELECT n.net_id, concat_ws(' ', '<BOS>', CASE WHEN {IS_POINT.format('driver')} T
   {_block(0, 'OVERLAP')}, {_block(1, 'CONNECTED')}, '<SRC_END>') AS source
 FROM net_seqs n LEFT JOIN l ON l.net_id = n.net_id"""
 )
-def f26_neighbour_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Source sentences with the blocks of neighbours."""
-    return f26_with_neighbours(spark, d)

@@ -22,6 +22,11 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def attach(name: str, sql: str) -> None:
+    """The SQL of a query that another module registers."""
+    SQL[name] = sql
+
+
 def load() -> None:
     """Imports the modules whose queries register themselves."""
     from netloom.plans import coords, corpus, drawn, evaluation, files, forests, graphs, skew, texts, tools, vectors  # noqa: F401
